@@ -19,8 +19,11 @@ from .common import small_batches, written
 THRESHOLD = 0.7
 #: Labelled rows, at most about, from which lexicon and trees are learned.
 SAMPLE_ROWS = 12_000
-#: A word is learned if this share of toxic sample rows has it, and it is this many times as frequent there as in others.
-LEXICON_SHARE, LEXICON_TIMES, LEXICON_WORDS = 0.1, 10.0, 200
+#: A word or its beginning is learned if this share of toxic sample rows, and so many of them, have it, and it is
+#: this many times as frequent there as in others.
+LEXICON_SHARE, LEXICON_ROWS, LEXICON_TIMES, LEXICON_WORDS = 0.02, 4, 20.0, 400
+#: Letters of a beginning: endings change with inflection.
+STEM = 5
 #: Words between an insult and a second person that still belong together.
 NEAR = 5
 
@@ -38,6 +41,8 @@ LEET = str.maketrans("013457@$!|+", "oleastasiit")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"(.)\1+")
+_AROUND = ".,;:!?\"'()[]"
+_MARKS = "!?.,;:*#@$%&\"'()"
 FEATURES = ("insult_density", "learned_density", "hidden_density", "second_person_density", "near_density", "hits", "window_hits", "capitals", "capital_words", "exclamations", "punctuation", "obfuscation", "log_words")
 
 
@@ -58,27 +63,38 @@ def features(text: str | None, learned: Collection[str] = frozenset()) -> list[f
     if not n:
         return [0.0] * len(FEATURES)
     tokens = low.split()
-    odd = [t for t in tokens if not t.isalpha()]
-    odd = [t for t in odd if not t.strip(".,;:!?\"'()[]").isalpha()]
-    spelled, run = [], []
-    for i in (i for i, t in enumerate(tokens) if len(t) == 1):
-        if run and i == run[-1] + 1:
-            run.append(i)
-        else:
-            spelled, run = (spelled + [run] if len(run) > 3 else spelled), [i]
-    spelled += [run] if len(run) > 3 else []
-    mixed = [t for t in odd if any(c.isalpha() for c in t[:-1])]
-    hidden = sum(_plain(t) in _PLAIN_INSULTS for t in mixed) + sum(_plain("".join(tokens[i] for i in s)) in _PLAIN_INSULTS for s in spelled)
-    hits = [i for i, w in enumerate(words) if w in INSULTS]
-    second = [i for i, w in enumerate(words) if w in YOU]
+    mixed = [t for t in tokens if not t.isalpha() and not t.strip(_AROUND).isalpha() and any(map(str.isalpha, t))]
+    hidden = sum(_plain(t) in _PLAIN_INSULTS for t in mixed) + sum(_plain(s) in _PLAIN_INSULTS for s in _spelled(tokens))
+    there = set(words)
+    hits = [i for i, w in enumerate(words) if w in INSULTS] if not INSULTS.isdisjoint(there) else []
+    second = [i for i, w in enumerate(words) if w in YOU] if not YOU.isdisjoint(there) else []
     near = sum(any(abs(second[k] - i) <= NEAR for k in (bisect_left(second, i) - 1, bisect_left(second, i)) if 0 <= k < len(second)) for i in hits)
     window = max((bisect_left(hits, i + 50) - k for k, i in enumerate(hits)), default=0)
-    learned_hits = sum(w in learned for w in words) if learned else 0
-    upper = sum(map(str.isupper, text)) if not low == text else 0
+    known = {w for w in there if w[:STEM] in learned} if learned else ()
+    learned_hits = sum(w in known for w in words) if known else 0
+    upper = _capitals(text, low)
     shouted = sum(len(t) > 1 and t.isupper() for t in text.split()) if upper else 0
-    marks = sum(text.count(c) for c in "!?.,;:*#@$%&\"'()")
+    marks = sum(map(text.count, _MARKS))
     per = 100.0 / n
-    return [len(hits) * per, learned_hits * per, hidden * per, len(second) * per, near * per, math.log1p(len(hits) + hidden), float(window), upper / max(len(text), 1), shouted * per, text.count("!") * per, marks / max(len(text), 1), len(mixed) * per, math.log1p(n)]
+    return [len(hits) * per, learned_hits * per, hidden * per, len(second) * per, near * per, math.log1p(len(hits) + learned_hits + hidden), float(window), upper / max(len(text), 1), shouted * per, text.count("!") * per, marks / max(len(text), 1), len(mixed) * per, math.log1p(n)]
+
+
+def _capitals(text: str, low: str) -> int:
+    """Characters that lower case changes; where that also changes the length, upper-case ones."""
+    if len(text) != len(low):
+        return sum(map(str.isupper, text))
+    return int(np.count_nonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)))
+
+
+def _spelled(tokens: list[str]) -> list[str]:
+    """Words spelled out: runs of four or more tokens of one character."""
+    out, run = [], []
+    for i in [i for i, t in enumerate(tokens) if len(t) == 1]:
+        if run and i != run[-1] + 1:
+            out.append(run)
+            run = []
+        run.append(i)
+    return ["".join(tokens[i] for i in r) for r in [*out, run] if len(r) > 3]
 
 
 def fold(doc_id: Column) -> Column:
@@ -98,13 +114,13 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, learn: Callable[[Colu
 
 
 def learn_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Words that many toxic rows of the sample have and few others: counted once for a row, added over partitions."""
+    """Beginnings of words that many toxic rows of the sample have and few others: counted once for a row, added over partitions."""
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((w, toxic) for w in {*_WORD.findall((text or "").lower())})
+                seen.update((w, toxic) for w in {w[:STEM] for w in _WORD.findall((text or "").lower())})
         at = list(seen)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
@@ -114,7 +130,7 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
     if not toxic or not clean:
         return frozenset()
     words = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    kept = words.filter((F.col("t") >= LEXICON_SHARE * toxic) & (F.col("t") / toxic >= LEXICON_TIMES * (F.col("c") + 0.5) / clean))
+    kept = words.filter((F.col("t") >= max(LEXICON_ROWS, LEXICON_SHARE * toxic)) & (F.col("t") / toxic >= LEXICON_TIMES * (F.col("c") + 0.5) / clean))
     return frozenset(r["word"] for r in kept.orderBy(F.desc("t"), "word").limit(LEXICON_WORDS).collect())
 
 
