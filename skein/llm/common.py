@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_written, shared_dir, written
+from ..sources.tables import table
+
+__all__ = ["drop_written", "number_within", "shared_dir", "small_batches", "table", "tiled", "written"]
+
 #: Rows of an Arrow batch sent to Python; whole texts may be long, so a batch stays small.
 BATCH_ROWS = 512
 #: Bytes of such a batch, where Spark knows the setting.
 BATCH_BYTES = 16 << 20
-#: Words are runs of anything but these ASCII characters.
-SPACES = " \t\n\x0b\f\r"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,37 +25,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local master gets a temporary one; a cluster is refused."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = context.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._skein_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it."""
-    if path := getattr(df, "_skein_path", None):
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, rows: int, per_salt: int = 50_000) -> DataFrame:
     """Number the rows of each key from 0 without gaps.
 
