@@ -30,7 +30,6 @@ class Index:
     """Learned rotations and the layout of the tables: table t reads `bits` bits of code t // per_code."""
 
     dim: int
-    mean: np.ndarray
     rotations: list[np.ndarray]
     code_bits: int
     bits: int
@@ -45,7 +44,7 @@ class Index:
         """64-bit codes of unit vectors, one for each rotation, as signed numbers."""
         out = []
         for rotation in self.rotations:
-            on = (unit - self.mean) @ rotation >= 0
+            on = unit @ rotation >= 0
             wide = np.zeros((len(unit), 64), dtype=np.uint8)
             wide[:, : self.code_bits] = on
             out.append(np.packbits(wide, axis=1, bitorder="little").view("<u8").reshape(-1).view(np.int64))
@@ -53,8 +52,11 @@ class Index:
 
 
 def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> np.ndarray:
-    """Project on the principal axes, then turn them so that signs lose least: alternate sign codes and a Procrustes step."""
-    _, _, axes = np.linalg.svd(np.cov(sample.T) if len(sample) > 1 else np.eye(sample.shape[1]))
+    """Project on the principal axes, then turn them so that signs lose least: alternate sign codes and a Procrustes step.
+
+    Vectors aren't centred: a hot group would be the centre, and its members' signs noise.
+    """
+    _, _, axes = np.linalg.svd(sample.T @ sample if len(sample) > 1 else np.eye(sample.shape[1]))
     axes = axes[:bits].T
     low = sample @ axes
     turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
@@ -73,8 +75,7 @@ def lay_out(rows: int, dim: int, sample: np.ndarray, cosine: float, recall: floa
     codes = -(-tables // (code_bits // bits))
     total = codes * code_bits
     radius = math.ceil(differ * total + 2.5 * math.sqrt(total * differ * (1 - differ)) + 1)
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-    return Index(dim, mean, [learn_rotation(sample - mean, code_bits, seed) for seed in range(codes)], code_bits, bits, tables, radius)
+    return Index(dim, [learn_rotation(sample, code_bits, seed) for seed in range(codes)], code_bits, bits, tables, radius)
 
 
 def _matrix(column, dim: int) -> np.ndarray:
