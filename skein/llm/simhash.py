@@ -157,7 +157,11 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that repeat such a doc_id are reduced to one. Rows without a doc_id stay only
     where no row of their group has one.
     """
-    groups = written(near_duplicate_groups(docs, radius))
+    return only_heads(docs, written(near_duplicate_groups(docs, radius)))
+
+
+def only_heads(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that groups (doc_id, component_id) have as their own component, one for each doc_id."""
     heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counts = heads.groupBy("doc_id").agg(F.count("*").alias("_rows"))
     kept = docs.join(counts.select(F.col("doc_id").alias("_head"), "_rows"), docs["doc_id"].cast("long").eqNullSafe(F.col("_head")))
