@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import lines, mixing, packing, simhash, toxicity
+from skein.llm import lines, mixing, near_copies, packing, toxicity
 from skein.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest doc_id."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group of near copies stays: that with the smallest doc_id."""
+    return near_copies.one_of_each_near_copy(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
