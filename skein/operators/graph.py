@@ -101,6 +101,18 @@ def drop_placeholders(found: DataFrame, by: list[str], column: str = "candidate"
     return found.withColumn("_named", named).filter((F.col(column) != placeholder) | (F.col("_named") == 0)).drop("_named")
 
 
+def finish_status(found: DataFrame, by: list[str], column: str = "candidate") -> DataFrame:
+    """(by, n_open, finished): how many entities of a group aren't finish markers, and whether all are."""
+    mark = F.col(column) == FINISH
+    return found.groupBy(*by).agg(F.count_if(~mark).alias("n_open"), F.bool_and(mark).alias("finished"))
+
+
+def ranked_relations(relations: Column, scores: Column) -> Column:
+    """array<struct(relation, score)> of two arrays; 1/n each where all scores are zero."""
+    even = F.transform(scores, lambda s: F.lit(1.0) / F.size(scores))
+    return F.zip_with(relations, F.when(F.forall(scores, lambda s: s == 0), even).otherwise(scores), lambda r, s: F.struct(r.alias("relation"), s.alias("score")))
+
+
 def top_by_score(rows: DataFrame, by: list[str], score: str, ties: list[str], width: int) -> DataFrame:
     """The width best rows of each group, ties in the order given; zero scores go after the cut."""
     order = Window.partitionBy(*by).orderBy(F.col(score).desc(), *ties)

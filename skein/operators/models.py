@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import argparse
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import MISSING, dataclass, fields
 
 import pandas as pd
 import pyarrow as pa
@@ -58,22 +59,29 @@ def answer_prompt(context: Column, question: Column, qtype: Column) -> Column:
 def complete(df: DataFrame, prompt: Column, model: Model, name: str = "response", tries: int = 3, wait: float = 0.0) -> DataFrame:
     """df with the model's texts and an `error` column: failures are retried, then kept as data, and never fail the task.
 
-    Batches go to the model as pandas series; each worker holds one copy of it.
+    Batches go to the model as pandas series; each worker holds one copy of it. A batch
+    that fails is asked row by row, `tries` times each, so an error is its own row's alone.
     """
     columns = df.columns
     schema = df.withColumn("_prompt", prompt)
     out = schema.drop("_prompt").withColumns({name: F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
 
+    def ask(prompts: pd.Series) -> tuple[list, str | None]:
+        try:
+            return list(model(prompts)), None
+        except Exception as e:  # the model's own failures are data
+            return [None] * len(prompts), f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prompts = b.column("_prompt").to_pandas()
-            answers, errors = [None] * len(prompts), [None] * len(prompts)
-            for attempt in range(tries):
-                try:
-                    answers, errors = list(model(prompts)), [None] * len(prompts)
-                    break
-                except Exception as e:  # the model's own failures are data
-                    errors = [f"{type(e).__name__}: {e}"] * len(prompts)
+            answers, error = ask(prompts)
+            errors = [None] * len(prompts)
+            for k in range(len(prompts) if error else 0):
+                for attempt in range(tries):
+                    (answers[k],), errors[k] = ask(prompts.iloc[k : k + 1])
+                    if errors[k] is None:
+                        break
                     time.sleep(wait * 2**attempt)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*columns, name, "error"])
 
@@ -98,6 +106,12 @@ def judge(df: DataFrame, judges: dict[str, Column], contexts: str = "contexts")
     return df.withColumns({n: F.when(F.size(F.col(contexts)) > 0, score) for n, score in judges.items()})
 
 
+def classify(df: DataFrame, question: str, model: Model) -> DataFrame:
+    """df with `qtype` by a model's word: span if it says so, yes/no otherwise."""
+    out = complete(df, F.format_string(template("classify"), F.col(question)), model, "_kind")
+    return out.withColumn("qtype", F.when(F.contains(F.lower("_kind"), F.lit("span")), "span").otherwise("yes/no")).drop("_kind")
+
+
 def few_shots(demos: DataFrame, by: str, order: str, question: str, answer: str) -> DataFrame:
     """(by, block): the examples of each group as one text, in order."""
     line = F.concat(F.lit("Question: "), F.col(question), F.lit("\nAnswer: "), F.col(answer))
@@ -138,19 +152,20 @@ class EvaluationConfig:
     references: str
     output: str
     missing: str = "skip"
-    metrics: tuple[str, ...] = field(default=("em", "conditional_em", "f1", "conditional_f1"))
+    metrics: tuple[str, ...] = ("em", "conditional_em", "f1", "conditional_f1")
 
 
 def config_from_args(kind, args: list[str]):
-    """A config from `--name value` pairs."""
-    import argparse
-
+    """A config from `--name value` pairs; fields of several values take them one after another."""
     parser = argparse.ArgumentParser()
-    for name, f in kind.__dataclass_fields__.items():
-        default = f.default if f.default is not None else None
-        required = f.default.__class__.__name__ == "_MISSING_TYPE" and f.default_factory.__class__.__name__ == "_MISSING_TYPE"
+    for f in fields(kind):
+        flag = f"--{f.name.replace('_', '-')}"
+        default = f.default if f.default is not MISSING else None if f.default_factory is MISSING else f.default_factory()
         if isinstance(default, bool):
-            parser.add_argument(f"--{name.replace('_', '-')}", action="store_true")
-        elif not isinstance(default, tuple) and f.default_factory.__class__.__name__ == "_MISSING_TYPE":
-            parser.add_argument(f"--{name.replace('_', '-')}", required=required, type=type(default) if isinstance(default, (int, float)) else str, **({} if required else {"default": default}))
-    return kind(**{k: v for k, v in vars(parser.parse_args(args)).items()})
+            parser.add_argument(flag, action="store_true")
+        elif isinstance(default, tuple):
+            parser.add_argument(flag, nargs="+", type=type(default[0]), default=default)
+        else:
+            parser.add_argument(flag, required=default is None, type=type(default) if isinstance(default, (int, float)) else str, default=default)
+    found = vars(parser.parse_args(args))
+    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in found.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import connecting, evaluating, handling, searching  # noqa: F401  they list their queries
+from . import connecting, evaluating, handling, modelling, searching  # noqa: F401  they list their queries
 from .registry import QUERIES, SQL, Query
 
 
