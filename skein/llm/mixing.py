@@ -107,7 +107,8 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, per
     whole = F.expr("leaf_budget div leaf_tokens")
     placed = rows.join(shares, list(LEVELS)).withColumn("whole", whole)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = placed.withColumn("key", key).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    # dealt anew: the join's partitions, by leaf, would do for the windows below and bring a hot leaf into one task
+    placed = placed.withColumn("key", key).withColumn("part", F.substring("key", 1, PART_DIGITS)).repartition(*LEVELS, "part")
     parts = placed.groupBy(*LEVELS, "part").agg(F.sum("n_tokens").alias("part_tokens"))
     ahead = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*LEVELS, "part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("ahead"))
