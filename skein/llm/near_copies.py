@@ -18,8 +18,8 @@ from .simhash import SEED, fingerprint, only_heads, shingles
 PRINT_WORDS, RADIUS = 2, 7
 #: Words of the shingles that decide, and the least Jaccard similarity of their sets.
 WORDS, SIMILARITY = 5, 0.8
-#: Smallest hashes of a text's shingles that are compared: all of them, up to so many.
-SKETCH = 1024
+#: Smallest hashes of a text's shingles by which texts far from the least similarity are told: all decide the others.
+SKETCH, FAR = 1024, 0.1
 #: Fingerprints for which a bucket aims, and above which it is compared in tiles.
 BUCKET_CODES, TILE_CODES = 1024, 2000
 #: Fingerprints searched at once in a tree.
@@ -91,18 +91,21 @@ def _met(tables: list[int], table: int, codes: np.ndarray, blocks: np.ndarray, o
 
 
 def sketch(text: str | None, words: int = WORDS) -> tuple[np.ndarray, int]:
-    """The SKETCH smallest of a text's different shingle hashes (32 bits, sorted), and how many there are."""
+    """All of a text's different shingle hashes (32 bits, sorted), and how many there are."""
     hashes = np.unique(np.array([xxh64_intdigest(s, SEED + 1) >> 32 for s in shingles(text, words)], dtype=np.uint32))
-    return hashes[:SKETCH], len(hashes)
+    return hashes, len(hashes)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sketches: the share of the smallest hashes of both that both have; exact where neither text has over SKETCH shingles."""
+def jaccard(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
+    """Of two sets of sorted hashes; of large ones it is estimated from the SKETCH smallest of both where that is FAR below similarity."""
+    if min(len(a), len(b)) > SKETCH:
+        least = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
+        both = np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True)
+        estimate = np.searchsorted(both, least[-1], side="right") / len(least)
+        if estimate < similarity - FAR:
+            return estimate
     both = np.intersect1d(a, b, assume_unique=True)
-    if max(len(a), len(b)) < SKETCH:
-        return len(both) / max(1, len(a) + len(b) - len(both))
-    least = np.union1d(a, b)[:SKETCH]
-    return np.searchsorted(both, least[-1], side="right") / len(least)
+    return len(both) / max(1, len(a) + len(b) - len(both))
 
 
 def _prints(batches):
@@ -120,9 +123,8 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, similarity: float =
     """(doc_id, component_id) of documents linked by near copies; component_id is the smallest doc_id reachable.
 
     Texts are linked if the sets of their shingles of five words have a Jaccard similarity
-    of at least `similarity` and their fingerprints differ in at most `radius` bits. Similarity is
-    exact up to SKETCH shingles, and estimated from the SKETCH smallest hashes of the whole
-    texts beyond. Texts with equal shingles are one class, and so are null and empty ones.
+    of at least `similarity` and their fingerprints differ in at most `radius` bits. All
+    shingles' hashes decide. Texts with equal shingles are one class, and so are null and empty ones.
     Tables of bits bring candidates together, a BK-tree of each tile finds them; sketches
     are fetched only for classes with a candidate, and a tile gives a spanning forest, no
     pairs. A null doc_id is never a component_id unless its group has no other.
@@ -174,7 +176,7 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, similarity: float =
 
                 for i, j in zip(*(x.tolist() for x in _met(tables, row["table"], codes, blocks, row["one"], row["two"], radius)), strict=True):
                     p, q = top(i), top(j)
-                    if p != q and jaccard(sets[i], sets[j]) >= similarity:
+                    if p != q and jaccard(sets[i], sets[j], similarity) >= similarity:
                         parent[max(p, q)] = min(p, q)
                 out += [(m["id"], members[r]["id"]) for k, m in enumerate(members) if (r := top(k)) != k]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])

@@ -76,3 +76,12 @@ def test_sketch_estimates():
     a, b = " ".join(words), " ".join(words[:18_000])
     assert N.jaccard(N.sketch(a)[0], N.sketch(b)[0]) == pytest.approx(0.9, abs=0.03)
     assert N.jaccard(N.sketch(a)[0], N.sketch(a)[0]) == 1.0
+
+
+def test_large_texts_are_decided_exactly():
+    draw = random.Random(3)
+    for left in (0.79, 0.81):
+        for _ in range(20):
+            words = [str(draw.random()) for _ in range(5004)]
+            kept = " ".join(words[: round(5000 * left) + 4])
+            assert (N.jaccard(N.sketch(" ".join(words))[0], N.sketch(kept)[0]) >= N.SIMILARITY) == (left > 0.8)
