@@ -1,4 +1,4 @@
-"""Near copies by SimHash: BK-trees find fingerprints within a wide radius, shared shingles decide."""
+"""Near copies: BK-trees find fingerprints within a wide radius, MinHash bands what lies beyond, shared shingles decide."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -20,10 +20,14 @@ PRINT_WORDS, RADIUS = 2, 7
 WORDS, SIMILARITY = 5, 0.8
 #: Smallest hashes of a text's shingles by which texts far from the least similarity are told: all decide the others.
 SKETCH, FAR = 1024, 0.1
+#: Bands of MinHash values of the shingles that decide, and values of a band: of pairs at 0.8 all but 3 in a million share one.
+BANDS, ROWS = 24, 4
 #: Fingerprints for which a bucket aims, and above which it is compared in tiles.
 BUCKET_CODES, TILE_CODES = 1024, 2000
 #: Fingerprints searched at once in a tree.
 _QUERIES = 256
+#: Hashes of a text whose MinHash values are taken at once.
+_CHUNK = 4096
 
 
 def masks(rows: int, radius: int, aim: int = BUCKET_CODES) -> list[int]:
@@ -108,6 +112,39 @@ def jaccard(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return len(both) / max(1, len(a) + len(b) - len(both))
 
 
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit bands of a set of hashes, none of an empty one: sets share one as often as their Jaccard similarity tells."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, 1 << 32, dtype=np.uint64)
+    for start in range(0, len(hashes), _CHUNK):
+        x = hashes[start : start + _CHUNK].astype(np.uint64)[None, :] * _ODD[:, None]
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        np.minimum(least, (x >> np.uint64(32)).min(axis=1), out=least)
+    values, key = least.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = (key + values[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64).tolist()
+
+
+def _bands(batches):
+    for b in batches:
+        keys = [bands(np.frombuffer(x, dtype=np.uint32)) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "bands"])
+
+
+def _meetings(sketches: DataFrame) -> DataFrame:
+    """(ids array<bigint>): classes of sketches (id, sketch) that share a band, in tiles, once for each set."""
+    band = Window.partitionBy("band")
+    rows = sketches.select("id", "sketch").mapInArrow(_bands, "id long, bands array<long>").select("id", F.explode("bands").alias("band"))
+    met = written(rows.withColumn("low", F.min("id").over(band)).withColumn("high", F.max("id").over(band)).filter("low < high").select("id", "band"))
+    return tiled(met, ["band"], "id", TILE_CODES).groupBy("band", "tile").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
+
+
 def _prints(batches):
     for b in batches:
         codes, sketches, counts = [], [], []
@@ -123,8 +160,9 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, similarity: float =
     """(doc_id, component_id) of documents linked by near copies; component_id is the smallest doc_id reachable.
 
     Texts are linked if the sets of their shingles of five words have a Jaccard similarity
-    of at least `similarity` and their fingerprints differ in at most `radius` bits. All
-    shingles' hashes decide. Texts with equal shingles are one class, and so are null and empty ones.
+    of at least `similarity` and they were brought together: by fingerprints that differ
+    in at most `radius` bits or by a common band of MinHash values. All shingles' hashes
+    decide. Texts with equal shingles are one class, and so are null and empty ones.
     Tables of bits bring candidates together, a BK-tree of each tile finds them; sketches
     are fetched only for classes with a candidate, and a tile gives a spanning forest, no
     pairs. A null doc_id is never a component_id unless its group has no other.
@@ -181,7 +219,24 @@ def near_copy_groups(docs: DataFrame, radius: int = RADIUS, similarity: float =
                 out += [(m["id"], members[r]["id"]) for k, m in enumerate(members) if (r := top(k)) != k]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    parts = connected_components(groups.select("table", "key", "one", "two", "members").mapInArrow(verify, "a long, b long"))
+    def compare(batches):
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for members in b.column(0).to_pylist():
+                members.sort(key=lambda m: m["id"])
+                sets = [np.frombuffer(m["sketch"], dtype=np.uint32) for m in members]
+                sizes, part = np.array([len(x) for x in sets]), np.arange(len(members))
+                for i in range(len(members)):
+                    for j in np.flatnonzero((part != part[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))).tolist():
+                        if j > i and part[i] != part[j] and jaccard(sets[i], sets[j], similarity) >= similarity:
+                            part[part == part[j]] = part[i]
+                out += [(members[k]["id"], members[r]["id"]) for k, r in enumerate(part.tolist()) if r != k]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    whole = prints.join(classes.select("id", "code", "mark"), ["code", "mark"]).groupBy("id").agg(F.min("sketch").alias("sketch"))
+    places = written(_meetings(whole).select(F.monotonically_increasing_id().alias("meeting"), "ids")).select("meeting", F.explode("ids").alias("id"))
+    met = places.join(whole, "id").groupBy("meeting").agg(F.collect_list(F.struct("id", "sketch")).alias("members")).select("members").mapInArrow(compare, "a long, b long")
+    parts = connected_components(groups.select("table", "key", "one", "two", "members").mapInArrow(verify, "a long, b long").union(met))
     grouped = classes.join(parts, F.col("id") == F.col("node"), "left").select("code", "mark", "least", F.coalesce("component", "id").alias("part"))
     heads = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "code", "mark").join(grouped.join(heads, "part").select("code", "mark", "component_id"), ["code", "mark"]).select("doc_id", "component_id")

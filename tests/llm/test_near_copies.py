@@ -85,3 +85,16 @@ def test_large_texts_are_decided_exactly():
             words = [str(draw.random()) for _ in range(5004)]
             kept = " ".join(words[: round(5000 * left) + 4])
             assert (N.jaccard(N.sketch(" ".join(words))[0], N.sketch(kept)[0]) >= N.SIMILARITY) == (left > 0.8)
+
+
+def test_recall_against_all_pairs_jaccard(spark):
+    draw, texts = random.Random(8), []
+    for n in (100, 300, 1000):
+        for _ in range(40):
+            words = [str(draw.random()) for _ in range(n)]
+            texts += [" ".join(words), " ".join(words[: n - draw.randint(n // 10, 19 * n // 100)])]
+    sets = [_sets(t) for t in texts]
+    wanted = {j for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= N.SIMILARITY * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in N.near_copy_groups(docs).collect() if r["doc_id"] != r["component_id"]}
+    assert len(wanted) > 100 and gone == wanted
