@@ -154,7 +154,7 @@ def beam_chains(spark, sf_dir):
 def traverse_final(spark, sf_dir):
     topics = spark.createDataFrame(_TOPICS, "qid string, entity string")
     score = _stub("t")
-    return G.traverse(R.star_triples(spark, sf_dir), topics, lambda q, x: score(q, x) * 10, max_depth=3, most_triples=50, most_topics=10)
+    return G.traverse(R.star_triples(spark, sf_dir), topics, lambda q, x: score(q, x) * 10, max_depth=3)
 
 
 @query("""SELECT user_id, event_type, props, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type, props""")
