@@ -65,7 +65,7 @@ TURNS_SQL = "turns AS (SELECT u.conv_id || '-' || u.turn AS id, u.conv_id, u.tur
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """turns with answers: the first line is an answer, the others its conditions; every third conversation asks for yes or no."""
-    parts = lambda c: (F.element_at(F.split(c, "\n"), 1), F.slice(F.split(c, "\n"), 2, 1000))
+    parts = lambda c: (F.element_at(F.split(c, "\n"), 1), F.slice(F.split(c, "\n"), F.lit(2), F.size(F.split(c, "\n"))))
     t = turns(spark, sf_dir)
     (pa, pc), (ra, rc) = parts(F.col("pred")), parts(F.col("ref"))
     yes = F.when(F.col("conv_id") % 3 == 0, F.when(F.col("turn") % 4 == 0, "yes").otherwise("no"))
