@@ -6,15 +6,12 @@ import heapq
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import number_within, written
 
 SHARDS = 16
-#: Sizes up to this stand each for themselves; above, groups are placed one by one if
-#: there can be no more than LARGE_GROUPS of them, and by sizes rounded up otherwise.
-EXACT_BYTES, LARGE_GROUPS, STEPS = 1 << 16, 1 << 16, 1 << 10
 
 
 def place(classes: Iterable[tuple[int, int]], shards: int = SHARDS) -> list[tuple[int, int, int, int]]:
@@ -51,22 +48,12 @@ def place(classes: Iterable[tuple[int, int]], shards: int = SHARDS) -> list[tupl
     return plan
 
 
-def _rounded(total: int, size: Column) -> Column:
-    """The size, or for a large one among too many the next of STEPS sizes in each power of two."""
-    if total // (EXACT_BYTES + 1) <= LARGE_GROUPS:
-        return size
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double")))) / STEPS).cast("long")
-    least = total // LARGE_GROUPS
-    return F.when((size > EXACT_BYTES) & (size <= least), F.ceil(size / step) * step).otherwise(size).cast("long")
-
-
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of documents: law `bytes`, equal texts in one shard.
 
     size: UTF-8 bytes of the text plus 1. Groups are summed by the text's SHA-256. The
-    driver gets the number of groups by size: sizes up to EXACT_BYTES, at most
-    LARGE_GROUPS groups above (total bytes bound how many there are), and rounded sizes
-    between, so its heap never grows with the rows. Ranks within a size and slots within
+    driver gets the number of groups by exact size: different sizes above 64 KiB are at
+    most total / 64 KiB. Ranks within a size and slots within
     a shard are numbered over salted parts, so neither a hot size nor a shard meets in
     one task. slot orders a shard by hash. A group above a fair share makes its shard
     as large as itself.
@@ -79,8 +66,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("same"))
     rows = written(rows)
     groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"))
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    classed = groups.withColumn("step", _rounded(total, F.col("bytes")))
+    n = rows.count()
+    classed = groups.withColumn("step", F.col("bytes"))
     plan = place(classed.groupBy("step").agg(F.count("*").alias("n")).toPandas().itertuples(index=False, name=None), shards)
     ranked = number_within(classed.select("same", "step"), ["step"], ["same"], "rank", n)
     by_size: dict[int, tuple[list[int], list[int]]] = {}
