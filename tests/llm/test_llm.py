@@ -235,19 +235,21 @@ def test_lines(spark, docs, none, rows):
     draw = random.Random(2)
     line = words(draw, 60)
     extra = [(100, line + "\nshort", "en", "s", 0, "x"), (101, "head line of some length\n" + line.replace(line.split()[30], "zzzz"), "en", "s", 0, "x"), (102, line.upper() + "!", "en", "s", 0, "x")]
-    given = rows + extra
-    found = {(r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(given, DOCS)).collect()}
-    occurrences = sorted({(i if i is not None else -1, t, p, x) for i, t, *_ in given for p, x in enumerate(lines.normalised(t)) if len(x.decode()) >= lines.LEAST_CHARS})
-    kinds = sorted({x for *_, x in occurrences})
-    codes = lines.simhashes(kinds)
-    near = [(i, j) for i in range(len(kinds)) for j in range(i) if np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)) <= lines.RADIUS and lines.similar(kinds[i].decode(), kinds[j].decode())]
-    part = dict(zip(kinds, components(len(kinds), near), strict=True))
-    first, gone = {}, defaultdict(set)
-    for i, t, p, x in occurrences:
-        if first.setdefault(part[x], (i, t, p)) != (i, t, p):
-            gone[i, t].add(p)
-    wanted = {(i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[-1 if i is None else i, t])) for i, t, *_ in given}
-    assert found == wanted and near
+    given = sorted([*rows, *extra], key=lambda r: (r[0] is not None, r[0] or 0))
+    found = sorted((r["doc_id"] or -1, r["text"] or "") for r in lines.dedup_lines(spark.createDataFrame(given, DOCS)).collect())
+    kinds = sorted({x for r in given for x in lines.normalised(r[1]) if x})
+    links = [(i, j) for i in range(len(kinds)) for j in range(i) if lines.similar(kinds[i].decode(), kinds[j].decode())]
+    part = dict(zip(kinds, components(len(kinds), links), strict=True))
+    seen, wanted = set(), []
+    for i, t, *_ in given:
+        stays = []
+        for x, own in zip((t or "").split("\n"), lines.normalised(t), strict=True):
+            if not own or part[own] not in seen:
+                stays.append(x)
+            if own:
+                seen.add(part[own])
+        wanted.append((i or -1, "\n".join(stays)))
+    assert found == sorted(wanted) and links
     assert lines.dedup_lines(none).count() == 0
 
 
