@@ -50,8 +50,8 @@ def tiled(rows: DataFrame, keys: Sequence[str], unit: str, most: int) -> DataFra
     one with those of block two; so any two rows of a key meet in one tile. keys must not
     be null; unit decides the block.
     """
-    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(unit, F.lit(7)), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
-    out = rows.join(hot, list(keys), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    return out.withColumn("block", block).withColumn("tile", F.explode(others)).drop("blocks")
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64(unit, F.lit(7)), F.col("_blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
+    out = rows.join(hot, list(keys), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    return out.withColumn("block", block).withColumn("tile", F.explode(others)).drop("_blocks")
