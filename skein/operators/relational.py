@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
@@ -18,13 +20,15 @@ def position(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Rows numbered from 0 in an order, over range partitions: counts of partitions are added to places inside.
 
     No task gets all rows: a range exchange sorts, and only a count for each partition is
-    summed up.
+    summed up. The sorted rows are written once, so that the counts are of the partitions
+    that the rows were numbered in, whatever other columns there are.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    inside = ranged.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
+    inside = written(ranged.select("*", (F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)).alias("_i")).drop("_m"))
     counts = inside.groupBy("_p").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_m", "_i", "_b")
+    # a row for each partition of the exchange: as few as the session's shuffle partitions
+    return inside.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
 def slice_rows(df: DataFrame, order: list[str], start: int, end: int) -> DataFrame:
