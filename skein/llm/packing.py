@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import number_within, small_batches, written
 
 CAPACITY = 2048
-#: Groups of the linear grouping, and the share of a sequence from which a length is large.
-GROUPS, LARGE = 24, 1 / 8
+#: Groups of the linear grouping, and shares of a sequence from which a length is large: the one that takes the fewest sequences for a histogram is used.
+GROUPS, LARGE = 24, (1 / 8, 1 / 4, 1 / 3, 0.501)
 END = 0
 SPECIAL = {"<|endoftext|>": 50256}
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -96,7 +96,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
 class Packer:
     """Packs a histogram of lengths: what it holds depends on lengths and groups, not on how many pieces there are."""
 
-    def __init__(self, counts: Mapping[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE):
+    def __init__(self, counts: Mapping[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE[0]):
         self.capacity, self.groups = capacity, groups
         self.left = {length: n for length, n in counts.items() if n > 0}
         self.total, self.sequences = dict(self.left), 0
@@ -215,6 +215,11 @@ class Packer:
             self._list(run)
 
 
+def fewest(counts: Mapping[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: Iterable[float] = LARGE) -> Packer:
+    """The grouping of a histogram that takes the fewest sequences. From over half a sequence on a configuration is one length, so the last share makes it no worse than best-fit decreasing."""
+    return min((Packer(counts, capacity, groups, share) for share in large), key=lambda p: p.sequences)
+
+
 def locate(places: list[Place], ranks: Iterable[int], length: int) -> list[tuple[int, int]]:
     """(sequence, offset) of the pieces of a length by rank."""
     firsts = [p.rank for p in places]
@@ -261,7 +266,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, large: Iterable[float] = LARGE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document in a sequence of at most capacity ids.
 
     The driver packs the histogram of lengths, of at most `capacity` entries, and gets
@@ -276,10 +281,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    cut = written(pieces(docs, path, capacity))
+    cut = written(pieces(docs, path, capacity).withColumn("_row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = Packer(counts, capacity, groups, large).places
-    ranked = number_within(cut.withColumn("_row", F.monotonically_increasing_id()), ["length"], ["doc_id", "piece", "_row"], "rank", sum(counts.values()))
+    plan = fewest(counts, capacity, groups, large).places
+    ranked = number_within(cut, ["length"], ["doc_id", "piece", "_row"], "rank", sum(counts.values()))
 
     def put(batches):
         for b in batches:
