@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import drop_written, small_batches, written
 
 RATE, TO_RATE = 8000, 16000
 PAD, TAIL = 192, 16
@@ -130,10 +130,14 @@ def codec_of(payload: bytes) -> str:
     return tuple(FORMATS)[zlib.crc32(payload) % 3]
 
 
-#: Bytes of text whose media are held and decoded at once.
-HOLD_BYTES = 1 << 22
+#: Bytes of media that are held and decoded at once.
+HOLD_BYTES = 1 << 21
+#: Parts of the media table whose PCM is in the shared folder at a time, unless it is kept.
+PARTS = 16
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_DIGESTS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+_PCM = pa.schema([*_DIGESTS, ("codec", pa.string()), ("rate", pa.int32()), ("pcm", pa.binary())])
+_NAMED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
@@ -155,27 +159,15 @@ def stored_media(docs: DataFrame) -> DataFrame:
 
 
 def pcm_column(media: DataFrame) -> DataFrame:
-    """(doc_id, codec, rate, pcm binary): the resampled 16-bit samples of a media column."""
-    small_batches(media.sparkSession)
-
-    def read(batches):
-        for b in batches:
-            found = expand(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c for c, _, _ in found], pa.string()), pa.array([TO_RATE] * len(found), pa.int32()), pa.array([p.astype("<i2").tobytes() for _, _, p in found], pa.binary())], names=["doc_id", "codec", "rate", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(read, "doc_id long, codec string, rate int, pcm binary")
-
-
-def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media (doc_id, n_bytes, media), all of what is read back from the stored bytes."""
+    """Media (doc_id, n_bytes, media) as digests of what the stored bytes hold, codec, rate and the resampled 16-bit samples `pcm`."""
     small_batches(media.sparkSession)
 
     def rows(ids, sizes, files):
-        out: dict[str, list] = {n: [] for n in _OUT.names}
+        out: dict[str, list] = {n: [] for n in _PCM.names}
         for doc_id, n, m, (codec, payload, pcm) in zip(ids, sizes, files, expand(files), strict=True):
-            for name, value in zip(out, (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, pcm)), strict=True):
+            for name, value in zip(out, (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(m), hashlib.sha256(m).hexdigest(), codec, TO_RATE, pcm.astype("<i2").tobytes()), strict=True):
                 out[name].append(value)
-        return pa.RecordBatch.from_pydict(out, schema=_OUT)
+        return pa.RecordBatch.from_pydict(out, schema=_PCM)
 
     def read(batches):
         for b in batches:
@@ -189,4 +181,42 @@ def media_features(media: DataFrame) -> DataFrame:
             if start < len(files):
                 yield rows(ids[start:], sizes[start:], files[start:])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, f"{_NAMED}, codec string, rate int, pcm binary")
+
+
+def pcm_features(pcm: DataFrame) -> DataFrame:
+    """The digests of pcm_column() and a feature of its samples."""
+    small_batches(pcm.sparkSession)
+
+    def read(batches):
+        for b in batches:
+            found = [features(codec, np.frombuffer(samples, dtype="<i2")) for codec, samples in zip(b.column("codec").to_pylist(), b.column("pcm").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(_DIGESTS)], pa.array(found, pa.string())], names=[*(n for n, _ in _DIGESTS), "feature"])
+
+    return pcm.mapInArrow(read, f"{_NAMED}, feature string")
+
+
+def telephony_columns(docs: DataFrame, keep: str | None = None, parts: int = PARTS) -> DataFrame:
+    """Digests and features of documents' media, all of what is read back from stored bytes.
+
+    The media are written as a table and read back; their resampled PCM is written and read
+    back likewise, a part of the table at a time, for it takes four to eight bytes for each
+    byte of text: a part's is deleted once its features are written, unless `keep` names
+    the folder that it is to stay in. See stored_media().
+    """
+    spark = docs.sparkSession
+    media = written(stored_media(docs).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), by="part")
+    out = None
+    for part in range(parts):
+        one = pcm_column(media.filter(F.col("part") == part))
+        if keep:
+            one.write.mode("append").parquet(keep)
+            found = written(pcm_features(spark.read.parquet(keep).select(*_PCM.names))) if part == parts - 1 else None
+        else:
+            pcm = written(one)
+            found = written(pcm_features(pcm))
+            drop_written(pcm)
+        if found is not None:
+            out = found if out is None else out.union(found)
+    drop_written(media)
+    return out
