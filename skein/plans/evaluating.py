@@ -12,10 +12,10 @@ from . import registry as R
 from .registry import query
 
 
-@query(f"""SELECT 'document' AS kind, doc_id::VARCHAR AS id, {R.norm_sql('text')} AS norm, len({R.tokens_sql('text')})::INT AS n_tokens FROM documents WHERE lang = 'en'
+@query(f"""SELECT 'document' AS kind, doc_id::VARCHAR AS id, {R.norm_sql('text')} AS norm, len({R.tokens_sql('text')})::INT AS n_tokens FROM documents
 UNION ALL SELECT 'part', p_partkey::VARCHAR, {R.norm_sql('p_name')}, len({R.tokens_sql('p_name')})::INT FROM part""")
 def normalize_answer(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
     parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"))
     return docs.union(parts).select("kind", "id", T.normalize_answer("text").alias("norm"), F.size(T.tokens("text")).alias("n_tokens"))
 
@@ -44,10 +44,10 @@ def multihop_f1_pairs(spark, sf_dir):
     return s.select("id", *[F.round(f"s.{m}", 6).alias(m) for m in ("f1", "precision", "recall")])
 
 
-@query(f"WITH l AS (SELECT doc_id, string_split(text, chr(10))[1:3] AS p, string_split(text, chr(10))[2:4] AS g FROM documents) SELECT doc_id, round({R.condition_f1_sql('p', 'g')}, 6) AS f1, len(list_intersect(list_distinct(p), list_distinct(g)))::INT AS common FROM l")
+@query(f"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p, string_split(text, chr(10))[2:] AS g FROM documents) SELECT doc_id, round({R.condition_f1_sql('p', 'g')}, 6) AS f1, len(list_intersect(list_distinct(p), list_distinct(g)))::INT AS common FROM l")
 def condition_f1(spark, sf_dir):
     lines = F.split("text", "\n")
-    p, g = F.slice(lines, 1, 3), F.slice(lines, 2, 3)
+    p, g = lines, F.slice(lines, F.lit(2), F.size(lines))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.condition_f1(p, g), 6).alias("f1"), F.size(F.array_intersect(p, g)).alias("common"))
 
 
@@ -216,9 +216,9 @@ def metric_means(spark, sf_dir):
     return found.select("metric", "n", F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("SELECT conv_id, string_agg('Question: ' || u || chr(10) || 'Answer: ' || a, chr(10) || chr(10) ORDER BY turn) AS block FROM (SELECT u.conv_id, u.turn, left(u.text, 50) AS u, left(a.text, 50) AS a FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('Question: ' || u || chr(10) || 'Answer: ' || a, chr(10) || chr(10) ORDER BY turn) AS block FROM (SELECT u.conv_id, u.turn, u.text AS u, a.text AS a FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant') GROUP BY conv_id")
 def render_fewshot(spark, sf_dir):
-    t = R.turns(spark, sf_dir).select("conv_id", "turn", F.substring("ref", 1, 50).alias("q"), F.substring("pred", 1, 50).alias("a"))
+    t = R.turns(spark, sf_dir).select("conv_id", "turn", F.col("ref").alias("q"), F.col("pred").alias("a"))
     return M.few_shots(t, "conv_id", "turn", "q", "a")
 
 

@@ -98,9 +98,9 @@ def demo_semi(spark, sf_dir):
     return O.only(table(spark, sf_dir, "documents").select("doc_id", "lang"), ids, "doc_id")
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch_id FROM documents")
+@query("SELECT doc_id, md5(text) AS text_md5, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS batch_id FROM documents")
 def batch_ids(spark, sf_dir):
-    return O.batches(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 20)
+    return O.batches(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], 20).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "batch_id")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS pos FROM documents QUALIFY pos BETWEEN 10 AND 29")
@@ -120,10 +120,10 @@ def render_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(listed, lambda s: s["x"]), "\n").alias("context"))
 
 
-@query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || chr(10) || left(text, 40) AS node FROM documents")
+@query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || chr(10) || text AS node FROM documents")
 def render_metadata(spark, sf_dir):
     meta = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"), F.lit("n_chars"), F.col("n_chars").cast("string"))
-    return table(spark, sf_dir, "documents").select("doc_id", H.render_metadata(meta, F.substring("text", 1, 40), ["n_chars"]).alias("node"))
+    return table(spark, sf_dir, "documents").select("doc_id", H.render_metadata(meta, F.col("text"), ["n_chars"]).alias("node"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
@@ -144,9 +144,9 @@ def json_answers(spark, sf_dir):
     return found.select("event_id", "a.answer", F.size("a.conditions").alias("n_conditions"), F.col("a.conditions")[0].alias("first_condition"))
 
 
-@query(f"WITH {R.TURNS_SQL} SELECT id, 'u ' || left(ref, 20) || '. ' || left(pred, 20) AS question FROM turns")
+@query(f"WITH {R.TURNS_SQL} SELECT id, 'u ' || ref || '. ' || pred AS question FROM turns")
 def combined_question(spark, sf_dir):
-    return R.turns(spark, sf_dir).select("id", F.concat(F.lit("u "), F.concat_ws(". ", F.substring("ref", 1, 20), F.substring("pred", 1, 20))).alias("question"))
+    return R.turns(spark, sf_dir).select("id", F.concat(F.lit("u "), F.concat_ws(". ", "ref", "pred")).alias("question"))
 
 
 def _echo(prompts):

@@ -179,7 +179,7 @@ def prune_relation_suffix(spark, sf_dir):
     return R.star_triples(spark, sf_dir).filter(~T.is_identifier_relation(named) & ~T.is_abandoned_relation(F.col("rel"))).groupBy("rel").agg(F.count("*").alias("n"))
 
 
-_QUERIES = "vec_id < 10"
+_QUERIES = "vec_id % 20 = 0"
 _NEAR = f"""near AS (SELECT query_id, vec_id, distance, rank::INT AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) ** 2 AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank
   FROM embeddings q, embeddings e WHERE q.{_QUERIES}) WHERE rank <= 5)"""
@@ -205,12 +205,12 @@ def _hybrid(mode: str):
     def run(spark, sf_dir):
         vec = _near(spark, sf_dir).select("query_id", F.col("vec_id").alias("node_id"), (-F.round("distance", 6)).alias("score"))
         e = table(spark, sf_dir, "embeddings")
-        kg = e.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), "label").join(e.filter("vec_id < 40").select(F.col("vec_id").alias("node_id"), "label"), "label").select("query_id", "node_id", F.lit(1000.0).alias("score"))
+        kg = e.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("node_id"), "label"), "label").select("query_id", "node_id", F.lit(1000.0).alias("score"))
         return V.hybrid(vec, kg, mode, by=["query_id"])
 
     run.__name__ = f"hybrid_{mode.lower()}"
     kind = "JOIN" if mode == "AND" else "FULL JOIN"
-    return query(f"""WITH {_NEAR}, kg AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.{_QUERIES} AND e.vec_id < 40)
+    return query(f"""WITH {_NEAR}, kg AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.{_QUERIES})
 SELECT coalesce(k.query_id, n.query_id) AS query_id, coalesce(k.node_id, n.vec_id) AS node_id, CASE WHEN k.node_id IS NULL THEN -round(distance, 6) ELSE 1000.0 END AS score, CASE WHEN k.node_id IS NULL THEN 'vector' WHEN n.vec_id IS NULL THEN 'kg' ELSE 'both' END AS origin
 FROM near n {kind} kg k ON n.query_id = k.query_id AND n.vec_id = k.node_id""")(run)
 

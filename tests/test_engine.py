@@ -102,3 +102,20 @@ def test_against_duckdb(spark, name):
     for x in os.listdir(SF):
         c.execute(f"create view {x.removesuffix('.parquet')} as select * from '{SF}/{x}'")
     assert _rows(catalogue.queries()[name](spark, SF).toPandas()) == _rows(c.execute(catalogue.oracle_sql()[name]).df())
+
+
+def test_position_keeps_wide_rows_under_small_partitions(spark):
+    import duckdb
+
+    from skein.operators.relational import batches, position
+    from skein.sources.tables import table
+
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+        found = {(r["doc_id"], r["c"], r["pos"]) for r in position(docs, ["doc_id"]).selectExpr("doc_id", "md5(text) AS c", "pos").collect()}
+        assert batches(docs, ["doc_id"], 20).count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert found == set(duckdb.sql("SELECT doc_id, md5(text), row_number() OVER (ORDER BY doc_id) - 1 FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
