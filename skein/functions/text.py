@@ -299,3 +299,8 @@ def is_abandoned_relation(s: Column) -> Column:
     for x in ABANDONED_PARTS:
         out = out | F.contains(s, F.lit(x))
     return out
+
+
+def entity_name(s: Column) -> Column:
+    """An entity's or a relation's address without scheme and www."""
+    return F.regexp_replace(s, r"^https?://(www\.)?", "")

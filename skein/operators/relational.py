@@ -73,3 +73,15 @@ def unpivot_map(df: DataFrame, entries: Column, key: str, value: str) -> DataFra
 
 def zip_by_position(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
     return a.join(b, pos)
+
+
+def answerable(df: DataFrame, flag: str, answers: str) -> DataFrame:
+    """Rows that aren't flagged as unanswerable and whose list of answers isn't empty; a null flag is none, a null list is empty."""
+    return df.filter(~F.coalesce(F.col(flag), F.lit(False)) & (F.coalesce(F.size(answers), F.lit(0)) > 0))
+
+
+def with_document(examples: DataFrame, documents: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """examples with the other columns of the first document, in an order, that has their key; examples without one go."""
+    others = [c for c in documents.columns if c not in examples.columns]
+    first = documents.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_document"))
+    return examples.join(first, key).select(*examples.columns, "_document.*")
