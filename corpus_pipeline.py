@@ -35,7 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash_near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: Trees, SimHash and packing are beyond SQL; tests hold run() against a brute-force version.
+#: Trees, SimHash and packing are beyond SQL; tests hold the operators of line dedup, near copies and packing against brute force.
 ORACLE_SQL = None
 
 
