@@ -25,10 +25,10 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, by: str | None = None, compression: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, in a folder for each value of `by`: cuts the lineage, and survives a lost executor."""
     path = new_path(df.sparkSession)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
