@@ -205,7 +205,7 @@ def telephony_columns(docs: DataFrame, keep: str | None = None, parts: int = PAR
     the folder that it is to stay in. See stored_media().
     """
     spark = docs.sparkSession
-    media = written(stored_media(docs).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), by="part")
+    media = written(stored_media(docs).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), by="part", compression="zstd")
     out = None
     for part in range(parts):
         one = pcm_column(media.filter(F.col("part") == part))
@@ -213,7 +213,7 @@ def telephony_columns(docs: DataFrame, keep: str | None = None, parts: int = PAR
             one.write.mode("append").parquet(keep)
             found = written(pcm_features(spark.read.parquet(keep).select(*_PCM.names))) if part == parts - 1 else None
         else:
-            pcm = written(one)
+            pcm = written(one, compression="zstd")
             found = written(pcm_features(pcm))
             drop_written(pcm)
         if found is not None:
