@@ -72,20 +72,39 @@ def entity_relations(graph: DataFrame, pattern: str) -> DataFrame:
     return heads.union(match_side(graph, pattern, "tail").select(F.col("rel").alias("relation"), F.lit(False).alias("is_head"))).distinct()
 
 
+def _ends(graph: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(_key, relation, is_head, candidate) at the keys of `keyed` alone: the graph meets the few keys before anything of it is made distinct."""
+    end = lambda at, to, is_head: graph.select(F.lower(at).alias("_key"), F.col("rel").alias("relation"), F.lit(is_head).alias("is_head"), F.col(to).alias("candidate"))
+    return end("head", "tail", True).union(end("tail", "head", False)).join(keyed.select("_key").distinct(), "_key", "left_semi")
+
+
 def frontier_relations(graph: DataFrame, frontier: DataFrame) -> DataFrame:
     """(frontier's columns, relation, is_head) for frontier entities in `entity`, case aside."""
     keyed = frontier.withColumn("_key", F.lower("entity"))
-    heads = graph.select(F.lower("head").alias("_key"), F.col("rel").alias("relation"), F.lit(True).alias("is_head")).distinct()
-    tails = graph.select(F.lower("tail").alias("_key"), F.col("rel").alias("relation"), F.lit(False).alias("is_head")).distinct()
-    return keyed.join(heads.union(tails), "_key").drop("_key")
+    return keyed.join(_ends(graph, keyed).select("_key", "relation", "is_head").distinct(), "_key").drop("_key")
 
 
 def entity_search(graph: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (entity, relation, is_head, ...) with `candidate` at the other end, case aside."""
     keyed = wanted.withColumn("_key", F.lower("entity"))
-    ends = graph.select(F.lower("head").alias("_key"), F.col("rel").alias("relation"), F.lit(True).alias("is_head"), F.col("tail").alias("candidate"))
-    ends = ends.union(graph.select(F.lower("tail").alias("_key"), F.col("rel").alias("relation"), F.lit(False).alias("is_head"), F.col("head").alias("candidate"))).distinct()
-    return keyed.join(ends, ["_key", "relation", "is_head"]).drop("_key")
+    ends = _ends(graph, keyed).join(keyed.select("_key", "relation", "is_head").distinct(), ["_key", "relation", "is_head"], "left_semi")
+    return keyed.join(ends.distinct(), ["_key", "relation", "is_head"]).drop("_key")
+
+
+def neighbour_labels(edges: DataFrame, labels: DataFrame, wanted: DataFrame, lang: str = "en", most: int = 100) -> DataFrame:
+    """(label, relation, is_head, neighbour): labels in `lang` of the nodes next to each wanted label's least node.
+
+    edges (src_id, relation, dst_id), labels (node_id, label, lang), wanted (label). Of a
+    label, relation and direction the first `most` neighbours by label are kept, as a
+    limited lookup would; the cut is made before the rows of a hub are shuffled.
+    """
+    named = label_lookup(labels, wanted.select("label").distinct()).filter("node_id IS NOT NULL")
+    out = named.join(edges, F.col("node_id") == F.col("src_id")).select("label", "relation", F.lit(True).alias("is_head"), F.col("dst_id").alias("_to"))
+    into = named.join(edges, F.col("node_id") == F.col("dst_id")).select("label", "relation", F.lit(False).alias("is_head"), F.col("src_id").alias("_to"))
+    texts = labels.filter(F.col("lang") == lang).select(F.col("node_id").alias("_to"), F.col("label").alias("neighbour"))
+    found = out.union(into).join(texts, "_to").select("label", "relation", "is_head", "neighbour").distinct()
+    first = Window.partitionBy("label", "relation", "is_head").orderBy("neighbour")
+    return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
 
 
 def label_lookup(labels: DataFrame, wanted: DataFrame, default: str | None = None) -> DataFrame:
@@ -127,14 +146,14 @@ def uniform_scores(rows: DataFrame, by: list[str]) -> Column:
 def khop(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, depth) reached from seeds (node) within `hops` edges in either direction, at the least depth.
 
-    A loop of at most `hops` steps; each joins the last frontier with the graph and takes
-    out what was visited.
+    A loop of at most `hops` steps; each joins the last frontier with the graph, takes
+    out what was visited and writes what is left, so that no step repeats those before it.
     """
     both = graph.select(F.col("head").alias("node"), F.col("tail").alias("to")).union(graph.select(F.col("tail").alias("node"), F.col("head").alias("to")))
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     visited = frontier
     for depth in range(1, hops + 1):
-        frontier = frontier.join(both, "node").select(F.col("to").alias("node")).distinct().join(visited, "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = written(frontier.join(both, "node").select(F.col("to").alias("node")).distinct().join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.union(frontier)
     return visited
 
@@ -178,39 +197,75 @@ def chains(beam: DataFrame) -> DataFrame:
     return beam.groupBy("qid").agg(listed.alias("_l")).select("qid", T.path_text(F.transform("_l", lambda x: x["t"])).alias("chains"))
 
 
-def traverse(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column], Column], max_depth: int = 3, least: float = 8, most_triples: int = 500, most_topics: int = 50, stop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(qid, depth, seq, head, rel, tail, word): memory of a bounded traversal, first occurrence of each triple.
+Reason = Callable[[DataFrame, DataFrame], DataFrame]
 
-    topics (qid, entity). Depth 1 finds words of topics anywhere in triples, later depths
-    whole entities. Triples with score(qid, triple text) of at least `least` stay, the
-    best most_triples of a question; the ends they lead to that weren't visited are the
-    next topics, at most most_topics, in a fixed order. Visited words and entities are
-    frames keyed by question.
-    """
-    visited = topics.select("qid", T.kg_text(F.col("entity")).alias("word")).limit(0)
-    memory, frontier = None, topics.select("qid", "entity").distinct()
+
+def _walk(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column], Column], max_depth: int, least: float, most_triples: int, most_topics: int, reason: Reason | None) -> tuple[DataFrame, DataFrame | None]:
+    """The memory of a traversal and, with `reason`, what it said of questions that were answered."""
+    name = T.kg_text(F.col("entity"))
+    visited = topics.select("qid", name.alias("word")).limit(0)
+    memory, answers, frontier = None, None, topics.select("qid", "entity").distinct().withColumn("clue", F.lit(False))
     for depth in range(1, max_depth + 1):
+        in_parts = F.col("clue") | F.lit(depth == 1)
+        words = frontier.withColumn("word", F.explode(F.when(in_parts, T.search_words(name)).otherwise(F.array(name))))
+        words = words.select("qid", "word", in_parts.alias("in_parts")).distinct().join(visited, ["qid", "word"], "left_anti")
+        partial, whole = words.filter("in_parts").drop("in_parts"), words.filter("NOT in_parts").drop("in_parts")
         if depth == 1:
-            words = frontier.withColumn("word", F.explode(T.search_words(T.kg_text(F.col("entity")))))
+            hits = word_hits(partial, graph)
         else:
-            words = frontier.withColumn("word", T.kg_text(F.col("entity")))
-        words = words.select("qid", "word").distinct().join(visited, ["qid", "word"], "left_anti")
-        hits = word_hits(words, graph, exact=depth > 1)
-        line = F.concat_ws(", ", "head", "rel", "tail")
+            hits = word_hits(whole, graph, exact=True)
+            if reason is not None:
+                hits = hits.unionByName(word_hits(partial, graph)).distinct()
+        line = F.concat_ws(", ", *SIDES)
         found = hits.withColumn("score", score(F.col("qid"), line)).filter(F.col("score") >= least)
         ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), "head", "rel", "tail", "word", "side")
         found = found.withColumn("seq", F.row_number().over(ranked)).filter(F.col("seq") <= most_triples)
         found = written(found.select("qid", F.lit(depth).alias("depth"), "seq", *SIDES, "word", "side"))
         memory = found if memory is None else memory.union(found)
-        visited = visited.union(words).union(frontier.select("qid", T.kg_text(F.col("entity")).alias("word"))).distinct()
-        onward = next_candidates(found).select("qid", F.col("candidate").alias("entity"), T.kg_text(F.col("candidate")).alias("word")).distinct()
-        onward = onward.join(visited, ["qid", "word"], "left_anti")
-        if stop is not None:
-            onward = onward.join(stop(found).select("qid").distinct(), "qid", "left_anti")
+        visited = visited.union(words.select("qid", "word")).union(frontier.select("qid", name.alias("word"))).distinct()
+        onward = next_candidates(found).select("qid", F.col("candidate").alias("entity")).distinct()
+        onward = onward.withColumn("word", name).join(visited, ["qid", "word"], "left_anti")
         kept = Window.partitionBy("qid").orderBy("entity")
-        frontier = onward.withColumn("_n", F.row_number().over(kept)).filter(F.col("_n") <= most_topics).select("qid", "entity")
+        onward = onward.withColumn("_n", F.row_number().over(kept)).filter(F.col("_n") <= most_topics).select("qid", "entity", F.lit(False).alias("clue"))
+        if reason is not None:
+            said = written(reason(found, frontier.select("qid").distinct()).select("qid", F.lit(depth).alias("depth"), "stop", "answer", "clues"))
+            done = said.filter("stop")
+            answers = done if answers is None else answers.union(done)
+            clues = said.filter("NOT stop").select("qid", F.explode("clues").alias("entity")).distinct()
+            clues = clues.withColumn("word", name).join(visited, ["qid", "word"], "left_anti").select("qid", "entity", F.lit(True).alias("clue"))
+            onward = onward.join(done.select("qid"), "qid", "left_anti").union(clues)
+        frontier = onward
     first = Window.partitionBy("qid", *SIDES).orderBy("depth", "seq")
-    return memory.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "side")
+    return memory.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "side"), answers
+
+
+def traverse(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column], Column], max_depth: int = 3, least: float = 8, most_triples: int = 500, most_topics: int = 50) -> DataFrame:
+    """(qid, depth, seq, head, rel, tail, word): memory of a bounded traversal, first occurrence of each triple.
+
+    topics (qid, entity). Depth 1 finds words of topics anywhere in triples, later depths
+    whole entities. Triples with score(qid, triple text) of at least `least` stay, the
+    best most_triples of a question; the ends they lead to that weren't visited are the
+    next topics, at most most_topics, in a fixed order. Visited words and entities are
+    frames keyed by question.
+    """
+    return _walk(graph, topics, score, max_depth, least, most_triples, most_topics, None)[0]
+
+
+def traverse_with_clues(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column], Column], reason: Reason, max_depth: int = 3, least: float = 8, most_triples: int = 500, most_topics: int = 50) -> DataFrame:
+    """(qid, depth, answer, context): a traversal that asks after each depth whether its triples are enough.
+
+    reason(found, asked) gives (qid, stop, answer, clues) for the questions of `asked`
+    (qid), of which `found` holds this depth's triples, if any. A question that stops has
+    its answer, and the depth, as the first line of its context; the clues of others are
+    searched for by words at the next depth, beside the next topics. A context lists at
+    most max_depth times most_triples triples, in the order in which they were found.
+    """
+    memory, answers = _walk(graph, topics, score, max_depth, least, most_triples, most_topics, reason)
+    listed = F.array_sort(F.collect_list(F.struct("depth", "seq", F.concat_ws(", ", *SIDES).alias("line"))))
+    lines = memory.groupBy("qid").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("_lines"))
+    out = topics.select("qid").distinct().join(lines, "qid", "left").join(answers.select("qid", "depth", "answer"), "qid", "left")
+    first = F.when(F.col("answer").isNotNull(), F.concat(F.lit("Answer: "), F.col("answer"), F.lit("\n\n"))).otherwise("")
+    return out.select("qid", "depth", "answer", F.concat(first, F.lit("KG context:\n"), F.coalesce("_lines", F.lit("")), F.lit("\n")).alias("context"))
 
 
 def extend_paths(paths: DataFrame, found: DataFrame) -> DataFrame:

@@ -27,6 +27,10 @@ TEMPLATES = {
     ("score_entities", "any", 0): "Score how much each entity helps to answer `%s`, as decimals that add up to 1.\nRelation: %s\nEntities: %s",
     ("prune_triples", "any", 0): "Score each fact from 1 to 10 for `%s`, as `(a, b, c) (Score: 8)`.\n%s",
     ("reason", "any", 0): "Question: %s\nFacts: %s\nIf they are enough reply {Yes} and {the answer}, otherwise {No} and what to look for in braces.",
+    ("reason_alone", "any", 0): "Question: %s\nNo facts were found. Name in braces what to look for.",
+    ("answer_alone", "any", 0): "Question: %s\nAnswer from what you know, as `Answer:` and a short phrase.",
+    ("keep_relations", "any", 0): "Relations of %s, one a line:\n%s\nRepeat those that help to answer `%s`, one a line.",
+    ("filter_paths", "any", 0): "Question: %s\nPaths: %s\nRepeat the facts that are enough to answer, as `(a, b, c)`, one a line.",
     ("extract", "any", 0): "Write the facts of this text as `(subject, predicate, object)`, one a line, at most %d.\n%s",
     ("extract_refine", "any", 0): "Text: %s\nFacts so far: %s\nAdd facts that are missing, in the same form.",
     ("classify", "any", 0): "Is the answer to this question a span of text, or yes or no? %s",
@@ -101,6 +105,58 @@ def refine(df: DataFrame, text: str, model: Model, prompts: int = 3, most: int =
     return out.withColumn("triples", T.parse_triplets("facts"))
 
 
+def reasoner(questions: DataFrame, model: Model) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """What traverse_with_clues asks after each depth: a model's word on the triples found, or on the question alone where there are none.
+
+    questions (qid, question). A first {Yes} stops a question that has triples, and the
+    text in the next braces is its answer; otherwise the texts in braces are clues. A
+    reply that is missing neither stops nor gives clues.
+    """
+
+    def said(found: DataFrame, asked: DataFrame) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("seq", F.concat_ws(", ", "head", "rel", "tail").alias("line"))))
+        facts = found.groupBy("qid").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("facts"))
+        rows = asked.join(questions.select("qid", "question"), "qid").join(facts, "qid", "left")
+        alone = F.format_string(template("reason_alone"), F.col("question"))
+        prompt = F.when(F.col("facts").isNull(), alone).otherwise(F.format_string(template("reason"), F.col("question"), F.col("facts")))
+        text = F.coalesce("response", F.lit(""))
+        stop = F.col("facts").isNotNull() & T.is_yes(T.first_brace(text))
+        answer = F.coalesce(F.try_element_at(T.braces(text), F.lit(1)), F.lit(""))
+        none = F.array().cast("array<string>")
+        return complete(rows, prompt, model).select("qid", stop.alias("stop"), F.when(stop, answer).alias("answer"), F.when(stop, none).otherwise(T.braces(text)).alias("clues"))
+
+    return said
+
+
+def answer_chains(questions: DataFrame, chains: DataFrame, model: Model) -> DataFrame:
+    """(qid, ans_from, response, error): questions (qid, question, qtype) answered from their chains (qid, chains), or without a graph where they have none."""
+    rows = questions.select("qid", "question", "qtype").join(chains.select("qid", "chains"), "qid", "left")
+    alone = F.format_string(template("answer_alone"), F.col("question"))
+    rows = rows.withColumn("ans_from", F.when(F.col("chains").isNull(), "model").otherwise("model+graph"))
+    prompt = F.when(F.col("chains").isNull(), alone).otherwise(answer_prompt(F.col("chains"), F.col("question"), F.col("qtype")))
+    return complete(rows, prompt, model).select("qid", "ans_from", "response", "error")
+
+
+def demonstration(question_code: Column, document_code: Column, question: Column, answer: Column, reminder: Column | None = None, rationale: Column | None = None, conditions: Column | None = None) -> Column:
+    """struct(prompt, reply) of a worked example in the form that parse_code_answer reads.
+
+    A rationale, if given, stands as comment lines before the answer; conditions, if
+    given, follow it, one a line, and a row without any has no mark of them.
+    """
+    mark = F.lit("# Reasons:" if rationale is not None else "# Answer:")
+    prompt = F.concat_ws("\n", question_code, document_code, F.concat(F.lit("# Question: "), question), *([] if reminder is None else [reminder]), mark)
+    reply = answer if rationale is None else F.concat(F.lit("# "), F.replace(rationale, F.lit("\n"), F.lit("\n# ")), F.lit("\n# Answer: "), answer)
+    if conditions is not None:
+        reply = F.concat(reply, F.array_join(F.transform(conditions, lambda c: F.concat(F.lit("\n\t if: "), c)), ""))
+    return F.struct(prompt.alias("prompt"), reply.alias("reply"))
+
+
+def evaluate(examples: DataFrame, judges: dict[str, Column], predict: Callable[[DataFrame], DataFrame] | None = None, contexts: str = "contexts") -> DataFrame:
+    """(id, metric, score) of examples: predictions are made first if `predict` is given, then judged; a score is null where a row has no contexts."""
+    judged = judge(examples if predict is None else predict(examples), judges, contexts)
+    return judged.select("id", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("score")) for n in judges])))
+
+
 def judge(df: DataFrame, judges: dict[str, Column], contexts: str = "contexts") -> DataFrame:
     """df with a column for each judge; null where a row has no contexts."""
     return df.withColumns({n: F.when(F.size(F.col(contexts)) > 0, score) for n, score in judges.items()})

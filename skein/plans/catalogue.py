@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, connecting, evaluating, handling, modelling, searching  # noqa: F401  they list their queries
+from . import answering, connecting, evaluating, handling, modelling, reasoning, searching  # noqa: F401  they list their queries
 from .registry import QUERIES, SQL, Query
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..sources.shared import still_written, written
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,8 +91,20 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("yesno", F.col("answer").isin("yes", "no")).withColumn("conditional", F.size("conditions") > 0)
 
 
+#: Tables of triples that a run has written, by application and folder.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star schema as triples (head, rel, tail), each once; kept, as a stored table of triples would be, for operators that read it often."""
+    """The stored table of triples (head, rel, tail): built and written by the first query of a run that reads it, like a graph's index."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not still_written(_STORED[key]):
+        _STORED[key] = written(_build_triples(spark, sf_dir))
+    return _STORED[key]
+
+
+def _build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star schema as triples, each once."""
     t = lambda n: table(spark, sf_dir, n)
     nation, orders = t("nation"), t("orders")
     order = F.concat(F.lit("order "), F.col("o_orderkey"))
@@ -110,7 +122,7 @@ def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    return out.distinct()
 
 
 TRIPLES_SQL = """triples AS (

@@ -137,15 +137,20 @@ f{k + 1} AS (SELECT DISTINCT qid, candidate AS entity FROM b{k})"""
 _TOPICS = [("q1", "ASIA"), ("q2", "red widget"), ("q3", "NATION_4"), ("q3", "Supplier#000000001")]
 
 
-@query(f"""{_T}, ends AS (SELECT DISTINCT lower(head) AS k, rel AS relation, true AS is_head, tail AS candidate FROM triples UNION SELECT DISTINCT lower(tail), rel, false, head FROM triples),
-f1 AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _TOPICS)}) v(qid, entity)),{_beam_sql(1)},{_beam_sql(2)},{_beam_sql(3)}
-SELECT qid, depth, entity, relation, is_head, candidate, round(score, 6) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)""")
+BEAM_SQL = f"""{_T}, ends AS (SELECT DISTINCT lower(head) AS k, rel AS relation, true AS is_head, tail AS candidate FROM triples UNION SELECT DISTINCT lower(tail), rel, false, head FROM triples),
+f1 AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _TOPICS)}) v(qid, entity)),{_beam_sql(1)},{_beam_sql(2)},{_beam_sql(3)},
+beam AS (SELECT qid, depth, entity, relation, is_head, candidate, round(score, 6) AS score FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)),
+lines AS (SELECT qid, depth, score, CASE WHEN is_head THEN entity ELSE candidate END AS head, relation AS rel, CASE WHEN is_head THEN candidate ELSE entity END AS tail FROM beam),
+chains AS (SELECT qid, string_agg(head || ', ' || rel || ', ' || tail, ' --> ' ORDER BY depth, score DESC, head, rel, tail) AS chains FROM lines GROUP BY qid)"""
+
+
+@query(f"{BEAM_SQL} SELECT * FROM beam")
 def beam_search(spark, sf_dir):
     topics = spark.createDataFrame(_TOPICS, "qid string, entity string")
     return G.beam_search(R.star_triples(spark, sf_dir), topics, _stub("r"), _stub("e")).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"{BEAM_SQL} SELECT * FROM chains")
 def beam_chains(spark, sf_dir):
     return G.chains(beam_search(spark, sf_dir))
 

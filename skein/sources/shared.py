@@ -34,9 +34,21 @@ def written(df: DataFrame, by: str | None = None, compression: str | None = None
     return out
 
 
+def _place(df: DataFrame):
+    """The file system and the path of a table that written() made."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+    where = jvm.org.apache.hadoop.fs.Path(df._skein_path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+
+def still_written(df: DataFrame) -> bool:
+    """Whether the files of a table that written() made are there yet: the folder may be cleared between jobs."""
+    files, where = _place(df)
+    return files.exists(where)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that written() made, once nothing reads it."""
-    if path := getattr(df, "_skein_path", None):
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    if getattr(df, "_skein_path", None):
+        files, where = _place(df)
+        files.delete(where, True)

@@ -93,5 +93,11 @@ def dataset(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, str]:
     return read_json(spark, path, schema), field
 
 
+def references(spark: SparkSession, path: str) -> DataFrame:
+    """(id, reference, question, qtype) that a file of predictions carries beside them."""
+    rows = read_json(spark, path, PREDICTION)
+    return rows.select("id", F.col("Actual_Answer").alias("reference"), F.col("Question").alias("question"), F.col("Question_Type").alias("qtype"))
+
+
 def now_text() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy_MM_dd-hh_mm_ss_a")
