@@ -222,7 +222,8 @@ def _walk(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column],
         found = found.withColumn("seq", F.row_number().over(ranked)).filter(F.col("seq") <= most_triples)
         found = written(found.select("qid", F.lit(depth).alias("depth"), "seq", *SIDES, "word", "side"))
         memory = found if memory is None else memory.union(found)
-        visited = visited.union(words.select("qid", "word")).union(frontier.select("qid", name.alias("word"))).distinct()
+        # written, as is the frontier: otherwise each depth plans and computes those before it three times over
+        visited = written(visited.union(words.select("qid", "word")).union(frontier.select("qid", name.alias("word"))).distinct())
         onward = next_candidates(found).select("qid", F.col("candidate").alias("entity")).distinct()
         onward = onward.withColumn("word", name).join(visited, ["qid", "word"], "left_anti")
         kept = Window.partitionBy("qid").orderBy("entity")
@@ -234,7 +235,8 @@ def _walk(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column],
             clues = said.filter("NOT stop").select("qid", F.explode("clues").alias("entity")).distinct()
             clues = clues.withColumn("word", name).join(visited, ["qid", "word"], "left_anti").select("qid", "entity", F.lit(True).alias("clue"))
             onward = onward.join(done.select("qid"), "qid", "left_anti").union(clues)
-        frontier = onward
+        if depth < max_depth:
+            frontier = written(onward)
     first = Window.partitionBy("qid", *SIDES).orderBy("depth", "seq")
     return memory.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "side"), answers
 
