@@ -109,10 +109,10 @@ def prediction_references(spark, sf_dir):
     return tables.references(spark, path)
 
 
-@query(f"WITH {_NATIONS} SELECT id, 'ValueError: no answer' AS error FROM n WHERE starts_with(n_name, 'C')")
+@query(f"WITH {_NATIONS} SELECT id, 'ValueError: no answer' AS error FROM n WHERE id % 4 = 0")
 def skipped_rows(spark, sf_dir):
     """Rows that a later run should try again."""
-    return failures(M.complete(_nations(spark, sf_dir), F.concat(F.lit(""), "n_name"), _failing)).select("id", "error")
+    return failures(M.complete(_nations(spark, sf_dir), F.concat(F.when(F.col("id") % 4 == 0, "C").otherwise(""), "n_name"), _failing)).select("id", "error")
 
 
 _STOPS = ", ".join(_quoted(w) for w in T.STOP_WORDS)
