@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, itq, lines, mixing, packing, secret_spans, sharding, simhash, toxicity, warc
+from . import audio, elkan, infilling, itq, lines, mixing, packing, secret_spans, sharding, simhash, toxicity, url_rules, warc
 from .common import table
 
 
@@ -52,5 +52,17 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.telephony_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.compressed_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(infilling.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_itq_near_dup, op2_warc_bundles, op3_mix_budgets, op4_lpt_shards, op5_toxicity, op6_simhash_groups, op7_secrets, op8_fuzzy_lines, op9_packed_sequences, op10_telephony)}
+    return {f.__name__: f for f in (op1_itq_near_dup, op2_warc_bundles, op3_mix_budgets, op4_lpt_shards, op5_toxicity, op6_simhash_groups, op7_secrets, op8_fuzzy_lines, op9_packed_sequences, op10_telephony, op11_url_rules, op12_elkan_codes, op13_fill_in_middle)}

@@ -86,5 +86,71 @@ SELECT * FROM (
 """
 
 
+OP11 = r"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u
+), p AS (
+  SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h
+), site(verdict, site_host, site_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), judged AS (
+  SELECT *, (SELECT max_by({'rule': site_host || site_path, 'verdict': verdict}, length(site_host || site_path)) FROM site
+    WHERE (host = site_host OR ends_with(host, '.' || site_host)) AND starts_with(path, site_path)) AS best FROM p
+)
+SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict
+  WHEN regexp_matches(coalesce(url, ''), '(?i)^[^:/?#]*://([^/?#]*\.)?ads-track\..*/privacy([^a-z0-9_.%-]|$)') THEN 'allow'
+  WHEN regexp_matches(coalesce(url, ''), '(?i)^[^:/?#]*://([^/?#]*\.)?(casino-win|free-bets|cheap-pills|spam-farm|ads-track|adult-x)\.')
+    OR regexp_matches(coalesce(url, ''), '(?i)[^a-z0-9_.%-](casino|xxx)([^a-z0-9_.%-]|$)|/porn/|&affid=|clickbait|/ad/.*\.gif$') THEN 'block'
+  ELSE 'allow' END AS verdict FROM judged
+"""
+
+_MEANS = """{new} AS (
+  SELECT p, k, list(m ORDER BY i) AS e FROM (
+    SELECT p, k, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM {given}) GROUP BY p, k, i
+  ) GROUP BY p, k
+  UNION ALL SELECT p, k, e FROM {old} o WHERE NOT EXISTS (SELECT 1 FROM {given} a WHERE a.p = o.p AND a.k = o.k)
+)"""
+_NEAREST = """{given} AS (
+  SELECT vec_id, label, p, any_value(x) AS x, min(d) AS d, arg_min(k, (d, k)) AS k FROM (
+    SELECT v.vec_id, v.label, v.p, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM part v JOIN {old} c USING (p)
+  ) GROUP BY vec_id, label, p
+)"""
+OP12 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS (
+  SELECT vec_id, label, p, e[p * len(e) // 16 + 1 : (p + 1) * len(e) // 16] AS x FROM v, (SELECT unnest(range(16)) AS p)
+), c0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS e FROM part WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)
+), {_NEAREST.format(given="a0", old="c0")}, {_MEANS.format(new="c1", given="a0", old="c0")},
+{_NEAREST.format(given="a1", old="c1")}, {_MEANS.format(new="c2", given="a1", old="c1")},
+{_NEAREST.format(given="a2", old="c2")},
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) FROM c2) AS codebooks_sha256 FROM coded
+"""
+
+OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
+), c AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS h1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS h2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), s AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(h1, h2)], '') AS prefix, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS middle, array_to_string(u[greatest(h1, h2) + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_itq_near_dup": OP1, "op2_warc_bundles": OP2, "op3_mix_budgets": OP3}
+    return {"op1_itq_near_dup": OP1, "op2_warc_bundles": OP2, "op3_mix_budgets": OP3, "op11_url_rules": OP11, "op12_elkan_codes": OP12, "op13_fill_in_middle": OP13}
