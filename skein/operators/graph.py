@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
+from .contains import names_with
 
 SIDES = ("head", "rel", "tail")
 FINISH = "[FINISH]"
@@ -36,27 +37,21 @@ def word_hits(words: DataFrame, graph: DataFrame, exact: bool = False) -> DataFr
     """(words' columns, head, rel, tail, side): triples where a word is in a side, or is the whole of head or tail.
 
     Words come in a column `word`, lower case. Whole sides are an equi-join on the side's
-    lower-case text. Parts: a word without spaces can only match inside one token of a
-    side, so words are compared with the distinct tokens alone, and triples are reached
-    by an equi-join of tokens. Words with spaces are compared with the distinct sides.
+    lower-case text. Parts: different words meet the different names of all sides through
+    their pieces (names_with), and triples are reached by an equi-join of names.
     """
-    parts = []
-    for side in ("head", "tail") if exact else SIDES:
-        named = graph.withColumn("_text", T.kg_text(F.col(side)))
-        if exact:
-            parts.append(words.join(named, F.col("word") == F.col("_text")).withColumn("side", F.lit(side)).drop("_text"))
-            continue
-        texts = named.select("_text").distinct().withColumn("_token", F.explode(F.array_distinct(F.split("_text", " "))))
-        tokens = texts.select("_token").distinct()
-        single = words.filter(~F.contains(F.col("word"), F.lit(" "))).select("word").distinct()
-        several = words.filter(F.contains(F.col("word"), F.lit(" "))).select("word").distinct()
-        found = single.join(tokens, F.contains(F.col("_token"), F.col("word"))).join(texts, "_token").select("word", "_text").distinct()
-        found = found.union(several.join(named.select("_text").distinct(), F.contains(F.col("_text"), F.col("word"))))
-        parts.append(words.join(found, "word").join(named, "_text").withColumn("side", F.lit(side)).drop("_text"))
+    named = lambda side: graph.withColumn("_text", T.kg_text(F.col(side)))
+    if exact:
+        parts = [words.join(named(side), F.col("word") == F.col("_text")).withColumn("side", F.lit(side)) for side in ("head", "tail")]
+    else:
+        names = graph.select(F.explode(F.array(*[T.kg_text(F.col(side)) for side in SIDES])).alias("name")).distinct()
+        found = names_with(words.select("word").distinct(), names).withColumnRenamed("name", "_text")
+        keyed = words.join(found, "word")
+        parts = [keyed.join(named(side), "_text").withColumn("side", F.lit(side)) for side in SIDES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.drop("_text")
 
 
 def next_candidates(hits: DataFrame) -> DataFrame:

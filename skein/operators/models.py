@@ -105,6 +105,25 @@ def refine(df: DataFrame, text: str, model: Model, prompts: int = 3, most: int =
     return out.withColumn("triples", T.parse_triplets("facts"))
 
 
+def pruner(questions: DataFrame, model: Model, least: int = 8, block: int = 40) -> Callable[[DataFrame], DataFrame]:
+    """What path_forest asks at each depth: which triples (qid, head, rel, tail) a model scores at least `least`, with its own spelling and score.
+
+    questions (qid, question). A question's triples go to the model in prompts of about
+    `block` triples, dealt by hash, so that no prompt and no task grows with a hub.
+    """
+
+    def kept(stored: DataFrame) -> DataFrame:
+        blocks = stored.groupBy("qid").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+        dealt = stored.join(blocks, "qid").withColumn("_block", F.pmod(F.xxhash64("head", "rel", "tail"), F.col("_blocks")))
+        line = F.concat(F.lit("("), F.concat_ws(", ", "head", "rel", "tail"), F.lit(")"))
+        facts = dealt.groupBy("qid", "_block").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("facts"))
+        asked = facts.join(questions.select("qid", "question"), "qid")
+        prompt = F.format_string(template("prune_triples"), F.col("question"), F.col("facts"))
+        return complete(asked, prompt, model).select("qid", F.inline(T.parse_scored_triples(F.coalesce("response", F.lit("")), least)))
+
+    return kept
+
+
 def reasoner(questions: DataFrame, model: Model) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """What traverse_with_clues asks after each depth: a model's word on the triples found, or on the question alone where there are none.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators import models as M
+from ..operators import paths as P
 from ..operators import retrieval as V
 from ..sources.tables import table
 from . import registry as R
@@ -155,13 +160,101 @@ def beam_chains(spark, sf_dir):
     return G.chains(beam_search(spark, sf_dir))
 
 
-@query()
+def _memory_sql(depth: int) -> str:
+    """One depth of the bounded traversal: words, hits by side, scores, cut, the next topics."""
+    k = depth
+    sides = [f"SELECT qid, word, head, rel, tail, '{s}' AS side FROM v{k} JOIN named ON {f'contains({x}, word)' if k == 1 else f'{x} = word'}" for s, x in (("head", "hk"), ("tail", "tk"), *([("rel", "rk")] if k == 1 else []))]
+    seen = " UNION ".join(["SELECT qid, lower(replace(trim(entity), '_', ' ')) AS word FROM topics", *[f"SELECT qid, word FROM v{j}" for j in range(1, k + 1)], *[f"SELECT qid, lower(replace(trim(entity), '_', ' ')) FROM t{j}" for j in range(2, k + 1)]])
+    to = "CASE WHEN contains(lower(replace(trim(head), '_', ' ')), word) THEN [tail] WHEN contains(lower(replace(trim(tail), '_', ' ')), word) THEN [head] ELSE [head, tail] END"
+    return f"""
+s{k} AS (SELECT *, {_stub_sql('t', "head || ', ' || rel || ', ' || tail")} * 10 AS score FROM ({' UNION ALL '.join(sides)})),
+m{k} AS (SELECT qid, {k} AS depth, seq, head, rel, tail, word, side FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, head, rel, tail, word, side) AS seq FROM s{k} WHERE score >= 8) WHERE seq <= 500),
+o{k} AS (SELECT DISTINCT qid, unnest({to}) AS entity FROM m{k}),
+t{k + 1} AS (SELECT qid, entity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY entity) AS n FROM o{k} WHERE (qid, lower(replace(trim(entity), '_', ' '))) NOT IN ({seen})) WHERE n <= 50),
+v{k + 1} AS (SELECT DISTINCT qid, lower(replace(trim(entity), '_', ' ')) AS word FROM t{k + 1} WHERE (qid, lower(replace(trim(entity), '_', ' '))) NOT IN ({seen}))"""
+
+
+_KT = "lower(replace(trim({}), '_', ' '))"
+
+
+@query(f"""{_T}, topics AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _TOPICS)}) v(qid, entity)),
+named AS (SELECT *, {_KT.format('head')} AS hk, {_KT.format('rel')} AS rk, {_KT.format('tail')} AS tk FROM triples),
+v1 AS (SELECT DISTINCT qid, unnest(string_split({_KT.format('entity')}, ' ')) AS word FROM topics),
+{_memory_sql(1)},{_memory_sql(2)},{_memory_sql(3)}
+SELECT qid, depth, seq::INT AS seq, head, rel, tail, word FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)
+QUALIFY row_number() OVER (PARTITION BY qid, head, rel, tail ORDER BY depth, seq) = 1""")
 def traverse_final(spark, sf_dir):
     topics = spark.createDataFrame(_TOPICS, "qid string, entity string")
     score = _stub("t")
     return G.traverse(R.star_triples(spark, sf_dir), topics, lambda q, x: score(q, x) * 10, max_depth=3)
 
 
+def _shouted(prompts: pd.Series) -> pd.Series:
+    """A model that scores each fact by a hash of it and repeats it in capitals and quotes, one without its quote's end."""
+
+    def reply(prompt: str) -> str:
+        facts = [x[1:-1] for x in prompt.split("\n")[1:]]
+        return "\n".join(f"('{x.upper()}') (Score: {int(hashlib.md5(x.encode()).hexdigest()[:4], 16) % 10 + 1})" for x in facts)
+
+    return prompts.map(reply)
+
+
+_PATH_QUESTIONS = [("q1", "asia"), ("q2", "red widget"), ("q3", "nation 4"), ("q4", "nowhere")]
+
+
+def _forest(spark, sf_dir):
+    topics = spark.createDataFrame([*_TOPICS, ("q4", "nowhere")], "qid string, entity string")
+    asked = spark.createDataFrame(_PATH_QUESTIONS, "qid string, question string")
+    return P.path_forest(R.star_triples(spark, sf_dir), topics, M.pruner(asked, _shouted))
+
+
+def _bare_sql(x: str) -> str:
+    """The key by which spellings meet."""
+    stops = ", ".join("'" + w + "'" for w in T.STOP_WORDS)
+    bare = f"trim(translate(lower({x}), '{R._MARKS}', ''))"
+    return f"CASE WHEN {bare} IN ({stops}) THEN '' ELSE {bare} END"
+
+
+def _found_sql(depth: int) -> str:
+    """One depth of a traversal with paths: words, hits, pruning by keys, the best new triples, the next words."""
+    k = depth
+    meet = "contains(hk, word) OR contains(tk, word) OR contains(rk, word)" if k == 1 else "hk = word OR tk = word"
+    known = " UNION ALL ".join(f"SELECT qid, head, rel, tail FROM g{j}" for j in range(1, k)) or "SELECT NULL, NULL, NULL, NULL WHERE false"
+    seen = " UNION ".join(["SELECT qid, lower(replace(trim(entity), '_', ' ')) AS word FROM topics", *[f"SELECT qid, word FROM w{j}" for j in range(1, k + 1)]])
+    to = "CASE WHEN contains(lower(replace(trim(head), '_', ' ')), word) THEN [tail] WHEN contains(lower(replace(trim(tail), '_', ' ')), word) THEN [head] ELSE [head, tail] END"
+    return f"""
+n{k}(qid, head, rel, tail) AS ({known}),
+h{k} AS (SELECT DISTINCT qid, word, parent_id, ways, head, rel, tail, key FROM w{k} JOIN keyed ON {meet} WHERE NOT EXISTS (SELECT 1 FROM n{k} n WHERE n.qid = w{k}.qid AND n.head = keyed.head AND n.rel = keyed.rel AND n.tail = keyed.tail)),
+p{k} AS (SELECT qid, key, max(score) AS score FROM (SELECT qid, key, ('0x' || substr(md5(head || ', ' || rel || ', ' || tail), 1, 4))::BIGINT % 10 + 1 AS score FROM h{k}) WHERE score >= 8 GROUP BY qid, key),
+e{k} AS (SELECT qid, head, rel, tail, max(score) AS score, min({{'p': coalesce(parent_id, 0), 'word': word, 'parent_id': parent_id, 'ways': ways}}) AS by_ FROM h{k} JOIN p{k} USING (qid, key) GROUP BY qid, head, rel, tail),
+g{k} AS (SELECT qid, ({k}::BIGINT << 32) + seq AS path_id, by_.parent_id AS parent_id, {k} AS depth, seq, by_.word AS word, by_.ways AS ways, head, rel, tail FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, head, rel, tail) AS seq FROM e{k}) WHERE seq <= 500),
+c{k} AS (SELECT qid, path_id, lower(replace(trim(unnest({to})), '_', ' ')) AS word FROM g{k}),
+w{k + 1} AS (SELECT qid, word, parent_id, ways FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY parent_id, word) AS n FROM (SELECT qid, word, min(path_id) AS parent_id, count(DISTINCT path_id) AS ways FROM c{k} WHERE (qid, word) NOT IN ({seen}) GROUP BY qid, word)) WHERE n <= 50)"""
+
+
+FOREST_SQL = f"""WITH RECURSIVE {R.TRIPLES_SQL}, topics AS (SELECT * FROM (VALUES {', '.join(str(t) for t in [*_TOPICS, ('q4', 'nowhere')])}) v(qid, entity)),
+keyed AS (SELECT *, {_KT.format('head')} AS hk, {_KT.format('rel')} AS rk, {_KT.format('tail')} AS tk, {_bare_sql('head')} || chr(1) || {_bare_sql('rel')} || chr(1) || {_bare_sql('tail')} AS key FROM triples),
+w1 AS (SELECT DISTINCT qid, unnest(string_split(lower(replace(trim(entity), '_', ' ')), ' ')) AS word, NULL::BIGINT AS parent_id, 0::BIGINT AS ways FROM topics),
+{_found_sql(1)},{_found_sql(2)},{_found_sql(3)},
+forest AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)"""
+
+
+@query(f"""{FOREST_SQL}, chain AS (
+  SELECT qid, path_id, word || ' --> ' || head || ', ' || rel || ', ' || tail AS path FROM forest WHERE parent_id IS NULL
+  UNION ALL SELECT f.qid, f.path_id, c.path || ' --> ' || f.head || ', ' || f.rel || ', ' || f.tail FROM forest f JOIN chain c ON f.qid = c.qid AND f.parent_id = c.path_id)
+SELECT qid, path_id, parent_id, depth, seq::INT AS seq, word, ways, head, rel, tail, path FROM forest JOIN chain USING (qid, path_id)""")
+def traverse_paths(spark, sf_dir):
+    """Each triple of a traversal with the chain by which it was reached; a model prunes, in a spelling of its own."""
+    return P.chains(_forest(spark, sf_dir)[0], 3)
+
+
+@query(f"""{FOREST_SQL}, last AS (SELECT qid, max(depth) AS depth FROM (SELECT DISTINCT qid, 1 AS depth FROM w2 UNION ALL SELECT DISTINCT qid, 2 FROM w3 UNION ALL SELECT DISTINCT qid, 3 FROM w4) GROUP BY qid)
+SELECT qid, CASE WHEN coalesce(depth, 0) = 3 THEN 'open' ELSE 'exhausted' END AS status, least(coalesce(depth, 0) + 1, 3)::INT AS depth FROM (SELECT DISTINCT qid FROM topics) LEFT JOIN last USING (qid)""")
+def traverse_states(spark, sf_dir):
+    """What became of each question of that traversal: none vanishes."""
+    return _forest(spark, sf_dir)[1].select("qid", "status", "depth")
+
+
 @query("""SELECT user_id, event_type, props, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type, props""")
 def memory_dedupe(spark, sf_dir):
     from ..operators.relational import first_occurrence

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from skein.operators import models as M
+from skein.operators import paths as P
 from skein.plans import registry as R
 from skein.plans import searching as S
 
@@ -25,3 +27,82 @@ def test_traverse_final_against_plain_traversal(spark, monkeypatch):
     found = {(r["head"], r["rel"], r["tail"]): r["depth"] for r in S.traverse_final(spark, "").collect()}
     assert found == _plain(triples, "alpha")
     assert len(found) == 120
+
+
+def _forest(spark, triples, topics, prune=None, **how):
+    graph = spark.createDataFrame(triples, "head string, rel string, tail string")
+    asked = spark.createDataFrame(topics, "qid string, entity string")
+    forest, states = P.path_forest(graph, asked, prune or P.by_score(lambda q, x: F.length(x).cast("double"), 0), **how)
+    rows = {r["path_id"]: r for r in P.chains(forest, how.get("max_depth", 3)).collect()}
+    return rows, {r["qid"]: (r["status"], r["depth"]) for r in states.collect()}, (forest, states)
+
+
+def _walked(rows, path_id):
+    """A chain by following parents one by one."""
+    out, at = [], path_id
+    while at is not None:
+        r = rows[at]
+        out.append(", ".join((r["head"], r["rel"], r["tail"])))
+        first, at = r["word"], r["parent_id"]
+    return " --> ".join([first, *out[::-1]])
+
+
+def test_paths_branch_and_meet(spark):
+    """alpha leads to three, two of which lead to the same one, which branches again."""
+    triples = [("alpha", "r", "b1"), ("alpha", "r", "b2"), ("b3", "r", "alpha"), ("b1", "to", "c"), ("c", "to", "b2"), ("b3", "own", "d"), ("c", "on", "e1"), ("e2", "on", "c"), ("e1", "back", "alpha"), ("f", "far", "e1"), ("stray", "r", "stray2")]
+    rows, states, _ = _forest(spark, triples, [("q", "alpha"), ("none", "nothing here"), ("d", "stray")], max_depth=4)
+    mine = {k: r for k, r in rows.items() if r["qid"] == "q"}
+    assert len(mine) == 10 and all(r["path"] == _walked(mine, k) for k, r in mine.items())
+    by = {(r["head"], r["tail"]): r for r in mine.values()}
+    assert by["e1", "alpha"]["depth"] == 1 and by["f", "e1"]["depth"] == 2
+    assert {by[x]["depth"] for x in (("b1", "c"), ("c", "b2"))} == {2} and by["c", "e1"]["ways"] == 1
+    led = [by[x]["path_id"] for x in (("b1", "c"), ("c", "b2"), ("c", "e1"))]
+    assert by["e2", "c"]["ways"] == 3 and by["e2", "c"]["parent_id"] == min(led)
+    assert states == {"q": ("exhausted", 4), "none": ("exhausted", 1), "d": ("exhausted", 2)}
+
+
+def test_long_chains_by_doubling(spark):
+    triples = [(f"n{k}", "next", f"n{k + 1}") for k in range(9)]
+    for depth in (1, 2, 5):
+        rows, states, _ = _forest(spark, triples, [("q", "n0")], max_depth=depth)
+        assert sorted(r["path"] for r in rows.values()) == sorted(" --> ".join(["n0", *[f"n{j}, next, n{j + 1}" for j in range(k)]]) for k in range(1, depth + 1))
+        assert states == {"q": ("open", depth)}
+
+
+def test_pruned_triples_meet_stored_ones_in_another_spelling(spark):
+    triples = [("The Cat's", "Likes", "milk"), ("the", "sits on", "mat"), ("cats", "likes", "milk"), ("dog", "likes", "milk")]
+    said = [("q", "'THE CATS'", "'likes'", "Milk!", 9.0), ("q", "A", "Sits On", " mat ", 8.0), ("q", "dog", "hates", "milk", 10.0)]
+    prune = lambda stored: spark.createDataFrame(said, "qid string, head string, rel string, tail string, score double")
+    rows, _, _ = _forest(spark, triples, [("q", "cat mat likes")], prune, max_depth=1)
+    # a stop word alone is as good as another; "the cats" isn't "cats"
+    assert sorted((r["head"], r["seq"]) for r in rows.values()) == [("The Cat's", 1), ("the", 2)]
+
+
+def test_pruning_model_sees_blocks(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        for p in prompts:
+            assert p.count("\n") <= 90
+            seen.add(p.count("\n"))
+        return prompts.map(lambda p: "\n".join(x.replace("x", "X") + " (Score: 8)" for x in p.split("\n")[1:]))
+
+    triples = [("alpha", "has", f"x{k:03d}") for k in range(200)]
+    asked = spark.createDataFrame([("q", "what?")], "qid string, question string")
+    rows, _, _ = _forest(spark, triples, [("q", "alpha")], M.pruner(asked, model), max_depth=1)
+    assert len(rows) == 200 and seen.value >= 200
+
+
+def test_answers_stop_and_clues_go_on(spark):
+    triples = [("alpha", "r", "beta"), ("beta", "r", "gamma"), ("delta", "is", "answer"), ("one", "r", "two")]
+
+    def reason(found, asked):
+        got = found.groupBy("qid").agg(F.max(F.col("tail") == "answer").alias("stop"))
+        stop = F.coalesce("stop", F.lit(False))
+        return asked.join(got, "qid", "left").select("qid", stop.alias("stop"), F.when(stop, "it").alias("answer"), F.when((F.col("qid") == "q") & ~stop, F.array(F.lit("delta"))).otherwise(F.array().cast("array<string>")).alias("clues"))
+
+    rows, states, tables = _forest(spark, triples, [("q", "alpha"), ("p", "one")], max_depth=3, reason=reason)
+    assert states == {"q": ("answered", 2), "p": ("exhausted", 2)}
+    context = {r["qid"]: r["context"] for r in P.path_context(*tables, 3).collect()}
+    assert context["q"] == "Answer: it\n\nKG context:\ndelta --> delta, is, answer\nalpha --> alpha, r, beta --> beta, r, gamma\n"
+    assert context["p"] == "KG context:\none --> one, r, two\n"
