@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.shared import written
 from .contains import names_with
+from .sampling import cut_large
 
 SIDES = ("head", "rel", "tail")
 FINISH = "[FINISH]"
@@ -171,9 +172,7 @@ def beam_search(graph: DataFrame, topics: DataFrame, score_relation: Callable[[C
         relations = top_by_score(relations, ["qid", "entity"], "relation_score", ["relation", "is_head"], width)
         found = entity_search(graph, relations)
         group = ["qid", "entity", "relation", "is_head"]
-        drawn = Window.partitionBy(*group).orderBy(F.md5(F.col("candidate").cast("binary")), "candidate")
-        found = found.withColumn("_n", F.count("*").over(Window.partitionBy(*group))).withColumn("_draw", F.row_number().over(drawn))
-        found = found.filter((F.col("_n") < many) | (F.col("_draw") <= retain)).drop("_n", "_draw")
+        found = cut_large(found, group, [F.md5(F.col("candidate").cast("binary")), "candidate"], many, retain)
         found = found.withColumn("score", score_entity(F.col("qid"), F.col("candidate")) * F.col("relation_score"))
         beam = top_by_score(found, ["qid"], "score", ["candidate", "entity", "relation", "is_head"], width)
         beam = written(beam.select("qid", F.lit(at).alias("depth"), *group[1:], "candidate", "score"))

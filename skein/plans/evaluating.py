@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import models as M
+from ..operators import similarity as S
 from ..sources.tables import table
 from . import registry as R
 from .registry import query
@@ -94,31 +98,77 @@ def weighted_report(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    """Predictions and answers of up to two lines each, without conditions."""
-    make = lambda c: F.transform(F.slice(F.split(c, "\n"), 1, 2), lambda x: F.struct(x.alias("answer"), F.array().cast("array<string>").alias("conditions")))
+    """Predictions and answers: every line is one, what follows a comma in it are its conditions."""
+    make = lambda c: F.transform(F.split(c, "\n"), lambda x: F.struct(F.element_at(F.split(x, ", "), 1).alias("answer"), F.slice(F.split(x, ", "), 2, 1 << 20).alias("conditions")))
     return R.turns(spark, sf_dir).select("id", make("pred").alias("predictions"), make("ref").alias("answers"))
 
 
-_CELLS = f"""WITH {R.TURNS_SQL}, l AS (SELECT id, string_split(pred, chr(10))[1:2] AS p, string_split(ref, chr(10))[1:2] AS r FROM turns),
-t AS (SELECT id, len(p) AS np, len(r) AS nr, {R.tokens_sql('p[1]')} AS p1, {R.tokens_sql("coalesce(p[2], '')")} AS p2, {R.tokens_sql('r[1]')} AS r1, {R.tokens_sql("coalesce(r[2], '')")} AS r2 FROM l),
-c AS (SELECT id, np, nr, """ + ", ".join(f"{R.answer_f1_sql(f'p{i}', f'r{j}')} AS f{i}{j}, ({'p%d' % i} = {'r%d' % j})::INT::DOUBLE AS e{i}{j}" for i in (1, 2) for j in (1, 2)) + " FROM t)"
+_CELLS = f"""{R.TURNS_SQL}, l AS (SELECT id, string_split(pred, chr(10)) AS p, string_split(ref, chr(10)) AS r FROM turns),
+sizes AS (SELECT id, len(p) AS preds, greatest(len(p), len(r)) AS np, len(r) AS nr FROM l),
+pl AS (SELECT id, i, {R.tokens_sql("string_split(x, ', ')[1]")} AS t, string_split(x, ', ')[2:] AS c FROM (SELECT id, unnest(range(1, greatest(len(p), len(r)) + 1)) AS i, coalesce(p[i], '') AS x FROM l)),
+rl AS (SELECT id, j, {R.tokens_sql("string_split(x, ', ')[1]")} AS t, string_split(x, ', ')[2:] AS c FROM (SELECT id, unnest(range(1, len(r) + 1)) AS j, r[j] AS x FROM l)),
+base AS (SELECT pl.id, i, j, (pl.t = rl.t)::INT::DOUBLE AS em, {R.answer_f1_sql('pl.t', 'rl.t')} AS f1, {R.condition_f1_sql('pl.c', 'rl.c')} AS cond FROM pl JOIN rl USING (id))"""
 
 
-@query(f"{_CELLS} SELECT id, round(greatest(f11, CASE WHEN np > 1 THEN f21 ELSE 0 END, CASE WHEN nr > 1 THEN f12 ELSE 0 END, CASE WHEN np > 1 AND nr > 1 THEN f22 ELSE 0 END), 6) AS best FROM c")
+@query(f"WITH {_CELLS} SELECT id, round(max(f1), 6) AS best FROM base JOIN sizes USING (id) WHERE i <= preds GROUP BY id")
 def best_pair_max(spark, sf_dir):
     best = E.best_pair(F.col("predictions"), F.col("answers"), lambda p, r: T.answer_f1(T.tokens(r["answer"]), T.tokens(p["answer"])))
     return _lists(spark, sf_dir).select("id", F.round(best, 6).alias("best"))
 
 
-def _assigned_sql(m: str) -> str:
-    return f"CASE WHEN nr = 1 AND np = 1 THEN {m}11 WHEN nr = 1 THEN greatest({m}11, {m}21) * exp(1 - 2.0) ELSE greatest({m}11 + {m}22, {m}12 + {m}21) / 2 END"
-
-
-@query(f"{_CELLS} SELECT id, round({_assigned_sql('e')}, 6) AS em, round({_assigned_sql('e')}, 6) AS conditional_em, round({_assigned_sql('f')}, 6) AS f1, round({_assigned_sql('f')}, 6) AS conditional_f1 FROM c")
+@query(f"""WITH RECURSIVE {_CELLS}, cell AS (
+  UNPIVOT (SELECT id, i, j, em, em * cond AS conditional_em, f1, f1 * cond AS conditional_f1 FROM base) ON em, conditional_em, f1, conditional_f1 INTO NAME metric VALUE s
+), choice AS (SELECT id, i, j, metric, s FROM cell UNION ALL SELECT DISTINCT id, i, 0, metric, 0.0 FROM cell),
+assigned AS (
+  SELECT DISTINCT id, metric, 0 AS i, 0 AS mask, 0.0::DOUBLE AS s FROM cell
+  UNION ALL SELECT id, metric, i, mask, max(s) FROM (
+    SELECT a.id, a.metric, c.i::INT AS i, CASE WHEN j = 0 THEN a.mask ELSE a.mask | (1 << (j - 1)::INT) END AS mask, a.s + c.s AS s
+    FROM assigned a JOIN choice c ON a.id = c.id AND a.metric = c.metric AND c.i = a.i + 1 WHERE j = 0 OR a.mask & (1 << (j - 1)::INT) = 0
+  ) GROUP BY id, metric, i, mask
+)
+PIVOT (SELECT id, metric, round(s / nr * exp(1 - greatest(preds, nr) / nr), 6) AS s FROM assigned JOIN sizes USING (id) WHERE i = np AND mask = (1 << nr::INT) - 1) ON metric IN ('em', 'conditional_em', 'f1', 'conditional_f1') USING max(s)""")
 def assignment_metric(spark, sf_dir):
     return E.assignment_metric(_lists(spark, sf_dir)).select("id", *[F.round(m, 6).alias(m) for m in E.METRICS])
 
 
+def _word_vectors(texts: list[str]) -> list[np.ndarray]:
+    """The digits of each word's hash, less their mean: what stands in for a model's vectors."""
+    return [np.array([[int(x, 16) - 7.5 for x in hashlib.md5(w.encode()).hexdigest()[:16]] for w in t.split(" ") if w]).reshape(-1, 16) for t in texts]
+
+
+def _vectors_sql(words: str) -> str:
+    return f"list_transform({words}, lambda w: list_transform(range(1, 17), lambda k: ('0x' || md5(w)[k])::INT - 7.5))"
+
+
+def _greedy_sql(p: str, r: str) -> str:
+    """(precision, recall) of greedy matching of two lists of vectors, as a struct."""
+    best = lambda a, b: f"list_avg(list_transform({a}, lambda x: list_max(list_transform({b}, lambda y: list_cosine_similarity(x, y)))))"
+    return f"CASE WHEN len({p}) = 0 OR len({r}) = 0 THEN {{'p': (len({p}) = len({r}))::INT::DOUBLE, 'r': (len({p}) = len({r}))::INT::DOUBLE}} ELSE {{'p': {best(p, r)}, 'r': {best(r, p)}}} END"
+
+
+_F1 = "CASE WHEN {0}.p + {0}.r > 0 THEN 2 * {0}.p * {0}.r / ({0}.p + {0}.r) ELSE 0 END"
+
+
+@query(f"""WITH {R.TURNS_SQL}, v AS (SELECT id, {_vectors_sql(R.tokens_sql('pred'))} AS p, {_vectors_sql(R.tokens_sql('ref'))} AS r FROM turns), g AS (SELECT id, {_greedy_sql('p', 'r')} AS s FROM v)
+SELECT id, round(s.p, 6) AS precision, round(s.r, 6) AS recall, round({_F1.format('s')}, 6) AS f1 FROM g""")
+def answer_similarity(spark, sf_dir):
+    """Replies against what they reply to, by the vectors of their words."""
+    found = S.token_similarity(R.turns(spark, sf_dir).select("id", "pred", "ref"), "pred", "ref", _word_vectors)
+    return found.select("id", *[F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {R.TURNS_SQL}, l AS (SELECT id, string_split(pred, chr(10)) AS p, string_split(ref, chr(10)) AS r FROM turns),
+pl AS (SELECT id, {_vectors_sql(R.tokens_sql("string_split(x, ', ')[1]"))} AS t, len(string_split(x, ', ')) > 1 AS some, {_vectors_sql(R.tokens_sql("array_to_string(string_split(x, ', ')[2:], ' ')"))} AS c FROM (SELECT id, unnest(p) AS x FROM l)),
+rl AS (SELECT id, {_vectors_sql(R.tokens_sql("string_split(x, ', ')[1]"))} AS t, len(string_split(x, ', ')) > 1 AS some, {_vectors_sql(R.tokens_sql("array_to_string(string_split(x, ', ')[2:], ' ')"))} AS c FROM (SELECT id, unnest(r) AS x FROM l)),
+g AS (SELECT id, {_greedy_sql('pl.t', 'rl.t')} AS a, {_greedy_sql('pl.c', 'rl.c')} AS b, rl.some AS due, pl.some AS given FROM pl JOIN rl USING (id)),
+f AS (SELECT id, due, {_F1.format('a')} AS a, CASE WHEN due AND given THEN {_F1.format('b')} ELSE 0 END AS b FROM g)
+SELECT id, round(greatest(max(a), 0), 6) AS similarity, round(greatest(max(CASE WHEN due THEN (a + b) / 2 END), 0), 6) AS with_conditions, round(greatest(max(b), 0), 6) AS conditions_only FROM f GROUP BY id""")
+def similarity_maxima(spark, sf_dir):
+    """Three maxima over all pairs of lines, each by itself."""
+    found = S.similarity_maxima(_lists(spark, sf_dir), _word_vectors)
+    return found.select("id", *[F.round(m, 6).alias(m) for m in S.MAXIMA])
+
+
 @query(f"""WITH {R.ANSWERED_SQL} SELECT id,
   CASE WHEN answer IN ('yes', 'no') AND len(conditions) > 0 THEN 'yes/no_conditional' WHEN answer IN ('yes', 'no') THEN 'yes/no' WHEN len(conditions) > 0 THEN 'span_conditional' ELSE 'span' END AS any_answer,
   CASE WHEN p_answer IN ('yes', 'no') AND len(p_conditions) > 0 THEN 'yes/no_conditional' WHEN p_answer IN ('yes', 'no') THEN 'yes/no' WHEN len(p_conditions) > 0 THEN 'span_conditional' ELSE 'span' END AS first_answer,

@@ -14,6 +14,7 @@ from ..sources.shared import new_path
 from ..sources.tables import table
 from ..streaming.incremental import append_new
 from . import registry as R
+from . import searching
 from .registry import query
 
 
@@ -113,11 +114,13 @@ def last_entry(spark, sf_dir):
     return O.last_by_key(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"])
 
 
-@query("SELECT source, string_agg('Filename: ' || doc_id || chr(10) || 'Content: ' || left(text, 60), chr(10) ORDER BY doc_id) AS context FROM documents GROUP BY source")
+@query(f"WITH {searching._NEAR} SELECT query_id, string_agg('Filename: ' || doc_id || chr(10) || 'Content: ' || text, chr(10) ORDER BY rank) AS context FROM near JOIN documents ON doc_id = vec_id GROUP BY query_id")
 def render_context(spark, sf_dir):
-    line = F.concat(F.lit("Filename: "), F.col("doc_id").cast("string"), F.lit("\nContent: "), F.substring("text", 1, 60))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("o"), line.alias("x"))))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.transform(listed, lambda s: s["x"]), "\n").alias("context"))
+    """The whole texts of the five documents nearest to each query, nearest first."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    line = F.concat(F.lit("Filename: "), F.col("vec_id").cast("string"), F.lit("\nContent: "), "text")
+    listed = F.array_sort(F.collect_list(F.struct("rank", line.alias("x"))))
+    return searching._near(spark, sf_dir).join(docs, "vec_id").groupBy("query_id").agg(F.array_join(F.transform(listed, lambda s: s["x"]), "\n").alias("context"))
 
 
 @query("SELECT doc_id, 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || chr(10) || text AS node FROM documents")
