@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
+from ..sources.stores import GraphStore
 from .contains import names_with
 from .sampling import cut_large
 
@@ -68,19 +69,21 @@ def entity_relations(graph: DataFrame, pattern: str) -> DataFrame:
     return heads.union(match_side(graph, pattern, "tail").select(F.col("rel").alias("relation"), F.lit(False).alias("is_head"))).distinct()
 
 
-def _ends(graph: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(_key, relation, is_head, candidate) at the keys of `keyed` alone: the graph meets the few keys before anything of it is made distinct."""
-    end = lambda at, to, is_head: graph.select(F.lower(at).alias("_key"), F.col("rel").alias("relation"), F.lit(is_head).alias("is_head"), F.col(to).alias("candidate"))
-    return end("head", "tail", True).union(end("tail", "head", False)).join(keyed.select("_key").distinct(), "_key", "left_semi")
+def _ends(graph: DataFrame | GraphStore, keyed: DataFrame) -> DataFrame:
+    """(_key, relation, is_head, candidate) at the keys of `keyed` alone: each side of the graph meets the few keys before anything of it is made distinct. A stored graph is joined in its buckets."""
+    wanted = keyed.select(F.col("_key").alias("key")).distinct()
+    sides = (graph.by_head, graph.by_tail) if isinstance(graph, GraphStore) else tuple(graph.withColumn("key", F.lower(s)) for s in ("head", "tail"))
+    end = lambda side, to, is_head: side.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), F.col("rel").alias("relation"), F.lit(is_head).alias("is_head"), F.col(to).alias("candidate"))
+    return end(sides[0], "tail", True).union(end(sides[1], "head", False))
 
 
-def frontier_relations(graph: DataFrame, frontier: DataFrame) -> DataFrame:
+def frontier_relations(graph: DataFrame | GraphStore, frontier: DataFrame) -> DataFrame:
     """(frontier's columns, relation, is_head) for frontier entities in `entity`, case aside."""
     keyed = frontier.withColumn("_key", F.lower("entity"))
     return keyed.join(_ends(graph, keyed).select("_key", "relation", "is_head").distinct(), "_key").drop("_key")
 
 
-def entity_search(graph: DataFrame, wanted: DataFrame) -> DataFrame:
+def entity_search(graph: DataFrame | GraphStore, wanted: DataFrame) -> DataFrame:
     """wanted (entity, relation, is_head, ...) with `candidate` at the other end, case aside."""
     keyed = wanted.withColumn("_key", F.lower("entity"))
     ends = _ends(graph, keyed).join(keyed.select("_key", "relation", "is_head").distinct(), ["_key", "relation", "is_head"], "left_semi")
@@ -154,7 +157,7 @@ def khop(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return visited
 
 
-def beam_search(graph: DataFrame, topics: DataFrame, score_relation: Callable[[Column, Column], Column], score_entity: Callable[[Column, Column], Column], depth: int = 3, width: int = 3, retain: int = 5, many: int = 20, stop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def beam_search(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Callable[[Column, Column], Column], score_entity: Callable[[Column, Column], Column], depth: int = 3, width: int = 3, retain: int = 5, many: int = 20, stop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, depth, entity, relation, is_head, candidate, score): beams of all questions at once.
 
     topics (qid, entity). At each depth: relations of the frontier less the last ones of

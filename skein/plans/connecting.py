@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import models as M
-from ..sources import tables
+from ..operators.graph import triples
+from ..sources import stores, tables
 from ..sources.shared import new_path
 from ..sources.tables import table
 from ..streaming.incremental import stream_step, usage_windows
@@ -59,3 +62,30 @@ def judged_rows(spark, sf_dir):
     """A judge's score; null where a row has no contexts."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 100, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("contexts"))
     return M.judge(rows, {"relevancy": F.lit(1.0)}).select("doc_id", "relevancy")
+
+
+@query("SELECT n_name AS nation, count(*) AS n, 2 AS builds FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def store_rebuild(spark, sf_dir):
+    """A graph of customers built into a store, loaded, and built anew when rows are added to its input."""
+    path, name, builds = new_path(spark), "customers_" + uuid.uuid4().hex[:8], []
+    c, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    rows = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+
+    def load():
+        def build():
+            builds.append(1)
+            return triples(spark.read.parquet(path), F.col("c_name"), "IN_NATION", F.col("n_name"))
+
+        return stores.stored(spark, name, [spark.read.parquet(path)], lambda: build().select(F.lower("tail").alias("key"), "head", "rel", "tail"), "key", 4)
+
+    rows.filter("c_custkey % 3 = 0").write.parquet(path)
+    load(), load()
+    rows.filter("c_custkey % 3 <> 0").write.mode("append").parquet(path)
+    found = load().groupBy(F.col("tail").alias("nation")).agg(F.count("*").alias("n"))
+    return found.withColumn("builds", F.lit(len(builds)))
+
+
+@query("SELECT vec_id, label FROM embeddings")
+def vector_table(spark, sf_dir):
+    """Vectors of one dimension, created as a store or loaded from it."""
+    return stores.vector_store(spark, "embeddings_" + uuid.uuid4().hex[:8], table(spark, sf_dir, "embeddings"), 64).select("vec_id", "label")

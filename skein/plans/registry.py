@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
-from ..sources.shared import still_written, written
+from ..sources.stores import GraphStore, graph_store, stored
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,16 +92,21 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("yesno", F.col("answer").isin("yes", "no")).withColumn("conditional", F.size("conditions") > 0)
 
 
-#: Tables of triples that a run has written, by application and folder.
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_SOURCES = ("customer", "nation", "region", "supplier", "orders", "part", "lineitem")
+
+
+def _star(sf_dir: str) -> str:
+    return "star_" + hashlib.sha256(sf_dir.encode()).hexdigest()[:8]
 
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored table of triples (head, rel, tail): built and written by the first query of a run that reads it, like a graph's index."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED or not still_written(_STORED[key]):
-        _STORED[key] = written(_build_triples(spark, sf_dir))
-    return _STORED[key]
+    """The stored table of triples (head, rel, tail): built by the first query that reads it, and again when a table has changed."""
+    return stored(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: _build_triples(spark, sf_dir))
+
+
+def star_store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The same triples dealt by head and by tail, for what searches from frontiers."""
+    return graph_store(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: star_triples(spark, sf_dir))
 
 
 def _build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ _WANTED = [("asia", "IN_REGION", False), ("nation_3", "IN_NATION", False), ("NAT
 SELECT DISTINCT entity, relation, is_head, CASE WHEN is_head THEN tail ELSE head END AS candidate FROM w JOIN triples ON rel = relation AND lower(entity) = lower(CASE WHEN is_head THEN head ELSE tail END)""")
 def kg_entity_search(spark, sf_dir):
     wanted = spark.createDataFrame(_WANTED, "entity string, relation string, is_head boolean")
-    return G.entity_search(R.star_triples(spark, sf_dir), wanted).select("entity", "relation", "is_head", "candidate")
+    return G.entity_search(R.star_store(spark, sf_dir), wanted).select("entity", "relation", "is_head", "candidate")
 
 
 @query("SELECT p_brand || '' AS label, coalesce(min(p_partkey)::VARCHAR, 'UnName_Entity') AS node_id FROM part GROUP BY p_brand UNION ALL SELECT 'nothing', 'UnName_Entity'")
@@ -153,7 +153,7 @@ chains AS (SELECT qid, string_agg(head || ', ' || rel || ', ' || tail, ' --> ' O
 @query(f"{BEAM_SQL} SELECT * FROM beam")
 def beam_search(spark, sf_dir):
     topics = spark.createDataFrame(_TOPICS, "qid string, entity string")
-    return G.beam_search(R.star_triples(spark, sf_dir), topics, _stub("r"), _stub("e")).withColumn("score", F.round("score", 6))
+    return G.beam_search(R.star_store(spark, sf_dir), topics, _stub("r"), _stub("e")).withColumn("score", F.round("score", 6))
 
 
 @query(f"{BEAM_SQL} SELECT * FROM chains")

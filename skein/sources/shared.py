@@ -41,12 +41,6 @@ def _place(df: DataFrame):
     return where.getFileSystem(context._jsc.hadoopConfiguration()), where
 
 
-def still_written(df: DataFrame) -> bool:
-    """Whether the files of a table that written() made are there yet: the folder may be cleared between jobs."""
-    files, where = _place(df)
-    return files.exists(where)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that written() made, once nothing reads it."""
     if getattr(df, "_skein_path", None):

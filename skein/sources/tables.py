@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +35,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def create_or_load(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A saved table, built the first time."""
-    if not spark.catalog.tableExists(name):
-        build().write.saveAsTable(name)
-    return spark.table(name)
-
-
 def checked_vectors(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
     """Vectors of the dimension given; any other fails the query."""
     return df.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"a vector should have {dim} elements, not "), F.size(column).cast("string")))))
