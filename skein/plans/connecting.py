@@ -11,7 +11,7 @@ from ..operators.graph import triples
 from ..sources import stores, tables
 from ..sources.shared import new_path
 from ..sources.tables import table
-from ..streaming.incremental import stream_step, usage_windows
+from ..streaming.incremental import ResultTable, run_in_batches, stream_step, usage_windows
 from .registry import query
 
 
@@ -48,7 +48,7 @@ def file_stream(spark, sf_dir):
     for part in (0, 1):
         rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
         stream_step(spark, source, rows.schema, sink, state, lambda df: df).awaitTermination()
-    return spark.read.parquet(sink).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+    return ResultTable(spark, sink).read().groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -89,3 +89,23 @@ def store_rebuild(spark, sf_dir):
 def vector_table(spark, sf_dir):
     """Vectors of one dimension, created as a store or loaded from it."""
     return stores.vector_store(spark, "embeddings_" + uuid.uuid4().hex[:8], table(spark, sf_dir, "embeddings"), 64).select("vec_id", "label")
+
+
+@query("SELECT order_priority, n, n AS ids, 8 AS batches FROM (SELECT o_orderpriority AS order_priority, count(*) AS n FROM orders GROUP BY o_orderpriority)")
+def resumed_batches(spark, sf_dir):
+    """Orders evaluated in eight batches; the first run dies in its fourth, the second goes on and repeats nothing."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), new_path(spark)
+    size, tried = -(-orders.count() // 8), []
+
+    def step(df, dies=True):
+        tried.append(1)
+        if dies and len(tried) == 4:
+            raise RuntimeError("lost")
+        return df
+
+    try:
+        run_in_batches(orders, path, ["o_orderkey"], size, step)
+    except RuntimeError:
+        found = run_in_batches(orders, path, ["o_orderkey"], size, lambda df: step(df, dies=False))
+    done = len(ResultTable(spark, path).committed())
+    return found.groupBy(F.col("o_orderpriority").alias("order_priority")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("ids")).withColumn("batches", F.lit(done))
