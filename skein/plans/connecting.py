@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators.graph import triples
-from ..sources import stores, tables
+from ..sources import remote, stores, tables
 from ..sources.shared import new_path
 from ..sources.tables import table
 from ..streaming.incremental import ResultTable, run_in_batches, stream_step, usage_windows
@@ -109,3 +109,27 @@ def resumed_batches(spark, sf_dir):
         found = run_in_batches(orders, path, ["o_orderkey"], size, lambda df: step(df, dies=False))
     done = len(ResultTable(spark, path).committed())
     return found.groupBy(F.col("o_orderpriority").alias("order_priority")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("ids")).withColumn("batches", F.lit(done))
+
+
+class _Nations:
+    """A service over a few rows that throttles each page once."""
+
+    def __init__(self, rows):
+        self.rows, self.seen = sorted(rows), set()
+
+    def bounds(self):
+        return (self.rows[0][0], self.rows[-1][0]) if self.rows else None
+
+    def page(self, after, upto, most):
+        if (after, upto) not in self.seen:
+            self.seen.add((after, upto))
+            raise remote.Throttled(0.0)
+        return [r for r in self.rows if after < r[0] <= upto][:most]
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 5 AND n_regionkey <> 2")
+def remote_scan(spark, sf_dir):
+    """Nations behind a service that throttles, in ranges of their keys."""
+    rows = [tuple(r) for r in table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name", F.col("n_regionkey").cast("long")).collect()]  # a fixed handful of nations
+    found = remote.remote_table(spark, "skein_nations", _Nations(rows), "n_nationkey long, n_name string, n_regionkey long", "n_nationkey", partitions=4, page=3, wait=0.0)
+    return found.filter("n_nationkey >= 5 AND n_regionkey <> 2")
