@@ -145,6 +145,18 @@ def parse_yes_no(s: Column | str) -> Column:
     return _struct_answers(found, none)
 
 
+def parse_text_answer(s: Column | str, yes_no: Column, rationales: bool, conditions: bool) -> Column:
+    """Answers of a text with `Answer: ` after its rationales and `. Conditions: ` with one a line, each if it is asked for and there; a yes/no question with another answer gets both, without conditions."""
+    s, none = _c(s), F.array().cast("array<string>")
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    after = lambda x, mark: F.try_element_at(F.split(x, mark), F.lit(2))
+    body = F.coalesce(strip(after(s, "Answer: ")), s) if rationales else s
+    given = F.split(strip(after(body, "Conditions: ")), "\n") if conditions else F.lit(None).cast("array<string>")
+    answer = F.when(given.isNotNull(), strip(F.element_at(F.split(body, r"\. Conditions:"), 1))).otherwise(body)
+    both = yes_no & ~F.lower(answer).isin(*YES_NO)
+    return F.when(both, _struct_answers(F.array(F.lit("yes"), F.lit("no")), none)).otherwise(_struct_answers(F.array(answer), F.coalesce(given, none)))
+
+
 def parse_code_answer(s: Column | str, yes_no: Column) -> Column:
     """Answers of `# Answer: x` with `\\t if: c` lines; a yes/no question with another answer gets both, conditions kept."""
     lines = F.split(_c(s), "\n")

@@ -36,6 +36,14 @@ TEMPLATES = {
     ("classify", "any", 0): "Is the answer to this question a span of text, or yes or no? %s",
     ("doc_to_code", "any", 4): "%s\n\n# Document\n%s\n# Code\n",
     ("question_to_code", "any", 4): "%s\n\n# Question\n%s\n# Code\n",
+    ("answer_task", "any", 0): "You answer questions about a document. %s Examples come first.",
+    ("remind", "yes/no", 0): "Say yes or no and nothing else, even if you aren't sure.",
+    ("remind", "span", 0): "Say a short span of the document and nothing else.",
+    ("remind_conditions", "any", 0): "If sentences of the document must hold for the answer, write them after it as conditions.",
+    ("step_by_step", "any", 0): "Go step by step:",
+    ("remind_code", "yes/no", 0): "# Answer with `# Answer: yes` or `# Answer: no`, then conditions as `\t if: `",
+    ("remind_code", "span", 0): "# Answer with `# Answer: ` and a span of the comments, then conditions as `\t if: `",
+    ("again", "any", 0): "# Your answer `%s` is neither yes nor no. Answer with `# Answer: yes` or `# Answer: no` and nothing else but conditions as `\t if: `",
     ("code_answer", "any", 0): "%s\n%s\n# Answer with `# Answer: ` and conditions as `\\t if: `\n",
 }
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answerers as A
 from ..operators import graph as G
+from ..operators import models as M
 from ..operators import relational as O
 from ..sources.tables import table
 from . import registry as R
+from .modelling import _NATIONS, _nations, _quoted, filled_sql
 from .registry import query
 
 
@@ -49,3 +53,59 @@ def extended_paths(spark, sf_dir):
 @query("SELECT DISTINCT page_id, regexp_replace(url, '^https?://(www\\.)?', '') AS name FROM pages")
 def entity_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.entity_name(F.col("url")).alias("name")).distinct()
+
+
+def _thirds(prompts: pd.Series) -> pd.Series:
+    """Decides, decides under conditions, or doesn't, by the length of the prompt."""
+    return prompts.map(lambda p: ("so\nAnswer: yes", "as\nAnswer: No . Conditions: c1\nc2", "it depends")[len(p) % 3])
+
+
+_TRAIN = """train AS (SELECT id, answer, conditions, 'q ' || conv_id AS question, 'd ' || answer AS document FROM answered WHERE conv_id % 4 = 0)"""
+_ASK = lambda kind, q, d: f"'Question: ' || {q} || chr(10) || 'Document: ' || {d} || chr(10) || {_quoted(A._reminder(kind, True) + ' ' + M.template('step_by_step'))}"
+
+
+def _block_sql(kind: str) -> str:
+    drawn = "md5('1:' || id), id"
+    some = f"(SELECT * FROM train WHERE answer = 'yes' ORDER BY {drawn} LIMIT 2) UNION ALL (SELECT * FROM train WHERE answer = 'no' ORDER BY {drawn} LIMIT 2)" if kind == A.YES_NO else f"SELECT * FROM train WHERE answer NOT IN ('yes', 'no') ORDER BY {drawn} LIMIT 4"
+    reply = "'first' || chr(10) || id || chr(10) || 'Answer: ' || answer || CASE WHEN len(conditions) > 0 THEN ' . Conditions: ' || array_to_string(conditions, chr(10)) ELSE '' END"
+    return f"(SELECT coalesce(string_agg('human: ' || {_ASK(kind, 'question', 'document')} || chr(10) || 'assistant: ' || {reply} || chr(10), '' ORDER BY md5('2:' || id), id), '') FROM ({some}))"
+
+
+def _prompt_sql(kind: str) -> str:
+    task = _quoted("system: " + M.template("answer_task") % A._reminder(kind, True))
+    return f"{task} || chr(10) || {_block_sql(kind)} || 'human: ' || {_ASK(kind, 'question', 'document')}"
+
+
+@query(f"""WITH {R.ANSWERED_SQL}, {_TRAIN},
+asked AS (SELECT id, 'p ' || turn AS question, p_answer AS document, CASE WHEN conv_id % 3 = 0 THEN 'yes/no' ELSE 'span' END AS qtype FROM answered WHERE conv_id % 4 <> 0),
+p AS (SELECT id, qtype, CASE qtype WHEN 'yes/no' THEN {_prompt_sql(A.YES_NO)} ELSE {_prompt_sql(A.SPAN)} END AS prompt FROM asked)
+SELECT id, md5(prompt) AS prompt_md5, CASE length(prompt) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'No' ELSE CASE qtype WHEN 'yes/no' THEN 'yes|no' ELSE 'it depends' END END AS answers, CASE length(prompt) % 3 WHEN 1 THEN 'c1|c2' ELSE '' END AS conditions FROM p""")
+def text_answerer(spark, sf_dir):
+    """Questions answered after drawn examples of their kind, with rationales and conditions."""
+    a = R.answered(spark, sf_dir)
+    train = a.filter("conv_id % 4 = 0").select("id", F.concat(F.lit("q "), "conv_id").alias("question"), F.concat(F.lit("d "), "answer").alias("document"), "answer", "conditions", F.array(F.lit("first"), "id").alias("evidence"))
+    asked = a.filter("conv_id % 4 <> 0").select("id", F.concat(F.lit("p "), "turn").alias("question"), F.col("p_answer").alias("document"), F.when(F.col("conv_id") % 3 == 0, "yes/no").otherwise("span").alias("qtype"))
+    found = A.text_answers(asked, train, _thirds)
+    return found.select("id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.array_join(F.transform("answers", lambda x: x["answer"]), "|").alias("answers"), F.array_join(F.col("answers")[0]["conditions"], "|").alias("conditions"))
+
+
+def _second(prompts: pd.Series) -> pd.Series:
+    """Undecided at first about names with an odd end; at the second try it decides on 1 and 3 where its first reply stands ahead."""
+
+    def reply(p: str) -> str:
+        name = p.split("# Question: ")[1].split("\n")[0]
+        if "assistant: # Answer: it depends" in p and name[-1] in "13":
+            return "# Answer: yes\n\t if: " + name
+        return "# Answer: no" if name[-1] in "02468" else "# Answer: it depends\n\t if: asked"
+
+    return prompts.map(reply)
+
+
+@query(f"""WITH {_NATIONS}, e AS (SELECT id, n_name, right(n_name, 1) AS e, id % 5 = 0 AS span FROM n)
+SELECT id, CASE WHEN e IN ('0', '2', '4', '6', '8') THEN 'no' WHEN span THEN 'it depends' WHEN e IN ('1', '3') THEN 'yes' ELSE 'yes|no' END AS answers,
+CASE WHEN e IN ('0', '2', '4', '6', '8') THEN '' WHEN NOT span AND e IN ('1', '3') THEN n_name ELSE 'asked' END AS conditions, NOT span AND e NOT IN ('0', '2', '4', '6', '8') AS tried_twice FROM e""")
+def code_second_try(spark, sf_dir):
+    """Undecided yes/no answers asked for once more, with the first try ahead."""
+    rows = _nations(spark, sf_dir).select("id", F.lit("q = 1").alias("question_code"), F.col("r_name").alias("document_code"), F.col("n_name").alias("question"), F.when(F.col("id") % 5 == 0, "span").otherwise("yes/no").alias("qtype"))
+    found = A.code_answers(rows, _second, remember=True)
+    return found.select("id", F.array_join(F.transform("answers", lambda x: x["answer"]), "|").alias("answers"), F.array_join(F.col("answers")[0]["conditions"], "|").alias("conditions"), F.col("response2").isNotNull().alias("tried_twice"))
