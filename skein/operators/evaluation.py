@@ -27,6 +27,22 @@ def rollup_means(scored: DataFrame, by: str, metrics: list[str], total: str = "j
     return out.select(F.when(F.col("_all") == 1, total).otherwise(F.col(by)).alias(by), "n", *metrics)
 
 
+def evaluate_files(predictions: DataFrame, references: DataFrame, key: str = "id", kind: str = "qtype") -> DataFrame:
+    """(file, qtype, n, em, f1, precision, recall): means of every prediction file by question type, of the file (type joint) and of all files (file all, type joint).
+
+    predictions (key, file, answer), references (key, answer, kind). All files are scored
+    in one pass and summed at three levels at once. Predictions without a reference are
+    left out, as are references that a file has no prediction for; a null type is the
+    type `unknown`.
+    """
+    gold = references.select(key, F.col("answer").alias("_gold"), F.coalesce(kind, F.lit("unknown")).alias("qtype"))
+    met = predictions.select(key, "file", F.col("answer").alias("_said")).join(gold, key)
+    scored = met.select("file", "qtype", T.exact_match("_said", "_gold").alias("em"), T.multihop_scores("_said", "_gold").alias("_s")).select("file", "qtype", "em", "_s.*")
+    metrics = ["em", "f1", "precision", "recall"]
+    levels = scored.groupingSets([["file", "qtype"], ["file"], []], "file", "qtype").agg(F.grouping("file").alias("_f"), F.grouping("qtype").alias("_q"), F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics])
+    return levels.select(F.when(F.col("_f") == 1, "all").otherwise(F.col("file")).alias("file"), F.when(F.col("_q") == 1, "joint").otherwise(F.col("qtype")).alias("qtype"), "n", *metrics)
+
+
 def slice_means(scored: DataFrame, slices: Mapping[str, Column], metrics: list[str]) -> DataFrame:
     """(slice, n, metrics): means over slices that may overlap, 0 for an empty one, in one pass and without grouping rows."""
     cells = [x for name, on in slices.items() for x in (F.count_if(on).alias(f"{name}|n"), *[F.coalesce(F.avg(F.when(on, F.col(m))), F.lit(0.0)).alias(f"{name}|{m}") for m in metrics])]

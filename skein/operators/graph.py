@@ -157,16 +157,13 @@ def khop(graph: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return visited
 
 
-def beam_search(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Callable[[Column, Column], Column], score_entity: Callable[[Column, Column], Column], depth: int = 3, width: int = 3, retain: int = 5, many: int = 20, stop: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(qid, depth, entity, relation, is_head, candidate, score): beams of all questions at once.
+Score = Callable[[Column, Column], Column]
+Stop = Callable[[DataFrame], DataFrame]
 
-    topics (qid, entity). At each depth: relations of the frontier less the last ones of
-    the question, the `width` best of each entity; entities at their ends, of `many` or
-    more `retain` by hash; score of entity times relation; the `width` best of a
-    question, zeros dropped; their candidates are the next frontier. stop(beam) names the
-    qids (qid) that are answered and go no further.
-    """
-    frontier, previous, out = topics.select("qid", "entity").distinct(), None, None
+
+def _beams(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Score, score_entity: Score, depth: int, width: int, retain: int, many: int, stop: Stop | None):
+    """(depth, frontier, candidates, beam, those that stop) of each depth, each written: see beam_search()."""
+    frontier, previous = topics.select("qid", "entity").distinct(), None
     for at in range(1, depth + 1):
         relations = frontier_relations(graph, frontier)
         if previous is not None:
@@ -179,14 +176,91 @@ def beam_search(graph: DataFrame | GraphStore, topics: DataFrame, score_relation
         found = found.withColumn("score", score_entity(F.col("qid"), F.col("candidate")) * F.col("relation_score"))
         beam = top_by_score(found, ["qid"], "score", ["candidate", "entity", "relation", "is_head"], width)
         beam = written(beam.select("qid", F.lit(at).alias("depth"), *group[1:], "candidate", "score"))
-        out = beam if out is None else out.union(beam)
+        stopped = None if stop is None else written(stop(beam).select("qid").distinct())
+        yield at, frontier, found, beam, stopped
         previous = beam.select("qid", "relation", "is_head").distinct()
         frontier = beam.select("qid", F.col("candidate").alias("entity")).distinct()
-        if stop is not None:
-            frontier = frontier.join(stop(beam).select("qid").distinct(), "qid", "left_anti")
+        if stopped is not None:
+            frontier = frontier.join(stopped, "qid", "left_anti")
+
+
+def beam_search(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Score, score_entity: Score, depth: int = 3, width: int = 3, retain: int = 5, many: int = 20, stop: Stop | None = None) -> DataFrame:
+    """(qid, depth, entity, relation, is_head, candidate, score): beams of all questions at once.
+
+    topics (qid, entity). At each depth: relations of the frontier less the last ones of
+    the question, the `width` best of each entity; entities at their ends, of `many` or
+    more `retain` by hash; score of entity times relation; the `width` best of a
+    question, zeros dropped; their candidates are the next frontier. stop(beam) names the
+    qids (qid) that are answered and go no further.
+    """
+    out = None
+    for _, _, _, beam, _ in _beams(graph, topics, score_relation, score_entity, depth, width, retain, many, stop):
+        out = beam if out is None else out.union(beam)
     return out
 
 
+def beam_history(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Score, score_entity: Score, depth: int = 3, width: int = 3, retain: int = 5, many: int = 20, stop: Stop | None = None) -> tuple[DataFrame, DataFrame]:
+    """beam_search() with finish rows, and (qid, status, depth) of every question, so that none vanishes.
+
+    Where an entity of a frontier leads nowhere there is a row of it with the candidate
+    FINISH, no relation and score 0. A question is answered where stop() names it,
+    exhausted where no entity of its frontier leads anywhere, pruned where all that was
+    found scores 0, and open after the last depth.
+    """
+    history, states, going = None, None, topics.select("qid").distinct()
+    ended = lambda qids, status, at: qids.select("qid", F.lit(status).alias("status"), F.lit(at).alias("depth"))
+    for at, frontier, found, beam, stopped in _beams(graph, topics, score_relation, score_entity, depth, width, retain, many, stop):
+        met = written(found.select("qid", "entity").distinct())
+        nowhere = frontier.join(met, ["qid", "entity"], "left_anti")
+        finish = nowhere.select("qid", F.lit(at).alias("depth"), "entity", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("boolean").alias("is_head"), F.lit(FINISH).alias("candidate"), F.lit(0.0).alias("score"))
+        rows = beam.union(written(finish))
+        history = rows if history is None else history.union(rows)
+        dead = going.join(met.select("qid").distinct(), "qid", "left_anti")
+        zero = going.join(dead.select("qid"), "qid", "left_anti").join(beam.select("qid").distinct(), "qid", "left_anti")
+        here = ended(dead, "exhausted", at).union(ended(zero, "pruned", at))
+        if stopped is not None:
+            here = here.union(ended(going.join(stopped, "qid", "left_semi"), "answered", at))
+        here = written(here)
+        states = here if states is None else states.union(here)
+        going = written(going.join(here.select("qid"), "qid", "left_anti"))
+    return history, states.union(ended(going, "open", depth))
+
+
+def neighbour_walk(graph: DataFrame | GraphStore, topics: DataFrame, keep: Callable[[DataFrame], DataFrame], max_depth: int = 3, max_entities: int = 5, stop: Stop | None = None) -> tuple[DataFrame, DataFrame]:
+    """Neighbours, pruning, targets: (qid, depth, entity, relation, is_head, candidate), and (qid, status, depth) of every question.
+
+    At each depth keep() gets the frontier's relations (qid, entity, relation, is_head)
+    and returns those worth following; all they lead to are targets, of which the first
+    max_entities of a question by text that weren't searched yet go on. Statuses are
+    those of beam_history(); pruned is a question of whose relations none is kept.
+    """
+    frontier, seen = topics.select("qid", "entity").distinct(), None
+    steps, states, going = None, None, topics.select("qid").distinct()
+    ended = lambda qids, status, at: qids.select("qid", F.lit(status).alias("status"), F.lit(at).alias("depth"))
+    for at in range(1, max_depth + 1):
+        relations = written(frontier_relations(graph, frontier).select("qid", "entity", "relation", "is_head"))
+        found = entity_search(graph, keep(relations).select("qid", "entity", "relation", "is_head").distinct())
+        found = written(found.select("qid", F.lit(at).alias("depth"), "entity", "relation", "is_head", "candidate"))
+        steps = found if steps is None else steps.union(found)
+        seen = frontier if seen is None else seen.union(frontier)
+        dead = going.join(relations.select("qid").distinct(), "qid", "left_anti")
+        none = going.join(dead.select("qid"), "qid", "left_anti").join(found.select("qid").distinct(), "qid", "left_anti")
+        here = ended(dead, "exhausted", at).union(ended(none, "pruned", at))
+        if stop is not None:
+            here = here.union(ended(going.join(stop(found).select("qid").distinct(), "qid", "left_semi"), "answered", at))
+        here = written(here)
+        onward = found.select("qid", F.col("candidate").alias("entity")).distinct().join(here.select("qid"), "qid", "left_anti").join(seen, ["qid", "entity"], "left_anti")
+        first = Window.partitionBy("qid").orderBy("entity")
+        frontier = written(onward.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max_entities).drop("_n"))
+        left = going.join(here.select("qid"), "qid", "left_anti")
+        stuck = written(ended(left.join(frontier.select("qid").distinct(), "qid", "left_anti"), "exhausted", at)) if at < max_depth else None
+        states = here if states is None else states.union(here)
+        if stuck is not None:
+            states, left = states.union(stuck), left.join(stuck.select("qid"), "qid", "left_anti")
+        going = written(left)
+    return steps, states.union(ended(going, "open", max_depth))
+
+
 def chains(beam: DataFrame) -> DataFrame:
     """(qid, chains): a question's triples in the order of depth and score, rendered."""
     triple = F.when(F.col("is_head"), F.struct(F.col("entity").alias("head"), F.col("relation").alias("rel"), F.col("candidate").alias("tail"))).otherwise(F.struct(F.col("candidate").alias("head"), F.col("relation").alias("rel"), F.col("entity").alias("tail")))

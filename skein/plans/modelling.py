@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import models as M
 from ..operators import relational as O
@@ -221,13 +222,23 @@ def context_modes(spark, sf_dir):
     return _nations(spark, sf_dir).select("id", *[V.assemble_context(F.col("n_name"), F.col("r_name"), m).alias(m) for m in ("vector", "kg", "hybrid")])
 
 
-@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY event_id % 2")
+_PRECISION = f"CASE WHEN {R.overlap_sql('pt', 'gt')} = 0 THEN 0.0 ELSE {R.overlap_sql('pt', 'gt')}::DOUBLE / len({{}}) END"
+_GUARD = "(len(pt) = 1 AND pt[1] IN ('yes', 'no', 'noanswer') OR len(gt) = 1 AND gt[1] IN ('yes', 'no', 'noanswer')) AND pt <> gt"
+
+
+@query(f"""WITH {R.TURNS_SQL}, worded AS (SELECT 'run_' || turn % 4 || '.json' AS file, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE 'type ' || conv_id % 3 END AS qtype, {R.tokens_sql('pred')} AS pt, {R.tokens_sql('ref')} AS gt FROM turns WHERE conv_id % 7 <> 0),
+s AS (SELECT file, qtype, (pt = gt)::INT::DOUBLE AS em, CASE WHEN {_GUARD} THEN 0.0 ELSE {_PRECISION.format('pt')} END AS precision, CASE WHEN {_GUARD} THEN 0.0 ELSE {_PRECISION.format('gt')} END AS recall FROM worded),
+f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM s)
+SELECT coalesce(file, 'all') AS file, coalesce(qtype, 'joint') AS qtype, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}' for m in ('em', 'f1', 'precision', 'recall'))} FROM f GROUP BY GROUPING SETS ((file, qtype), (file), ())""")
 def evaluated_files(spark, sf_dir):
-    """Figures of each file of a folder in one job."""
-    path, rows = new_path(spark), table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"))
-    for part in (0, 1):
-        tables.write_json(rows.filter(F.col("event_id") % 2 == part), path, append=True, single=True)
-    return tables.with_file(tables.read_json(spark, path, "event_id long")).groupBy("file").agg(F.count("*").alias("n"), F.sum("event_id").alias("total")).drop("file")
+    """Every prediction file of a folder by question type, by file and all together, in one job."""
+    path, t = new_path(spark), R.turns(spark, sf_dir).filter("conv_id % 7 <> 0")
+    for part in range(4):
+        tables.write_json(t.filter(F.col("turn") % 4 == part).select("id", F.col("pred").alias("answers")), f"{path}/run_{part}.json")
+    said = tables.with_file(tables.read_json(spark, f"{path}/*.json", "id string, answers string"), folder=True).withColumnRenamed("answers", "answer")
+    gold = R.turns(spark, sf_dir).select("id", F.col("ref").alias("answer"), F.when(F.col("turn") % 3 != 0, F.concat(F.lit("type "), F.col("conv_id") % 3)).alias("qtype"))
+    found = E.evaluate_files(said, gold)
+    return found.select("file", "qtype", "n", *[F.round(m, 6).alias(m) for m in ("em", "f1", "precision", "recall")])
 
 
 @query(f"WITH {_NATIONS} SELECT id::VARCHAR AS id, n_name AS question FROM n")

@@ -161,6 +161,76 @@ def beam_chains(spark, sf_dir):
     return G.chains(beam_search(spark, sf_dir))
 
 
+def _stopped(beam):
+    """Questions whose best candidate ends with a 3."""
+    return beam.filter(F.endswith("candidate", F.lit("3")))
+
+
+_LAST_TOPICS = [*_TOPICS, ("q5", "nowhere"), ("q6", "order 1")]
+
+
+def _states_sql(k: int) -> str:
+    """Statuses of those who were going at a depth."""
+    return f"""
+z{k} AS (SELECT qid, CASE WHEN qid NOT IN (SELECT qid FROM c{k}) THEN 'exhausted' WHEN qid NOT IN (SELECT qid FROM b{k}) THEN 'pruned' WHEN qid IN (SELECT qid FROM b{k} WHERE ends_with(candidate, '3')) THEN 'answered' END AS status, {k} AS depth FROM g{k}),
+g{k + 1} AS (SELECT qid FROM z{k} WHERE status IS NULL)"""
+
+
+_HISTORY_SQL = f"""{_T}, ends AS (SELECT DISTINCT lower(head) AS k, rel AS relation, true AS is_head, tail AS candidate FROM triples UNION SELECT DISTINCT lower(tail), rel, false, head FROM triples),
+f1 AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _LAST_TOPICS)}) v(qid, entity)), g1 AS (SELECT DISTINCT qid FROM f1),""" + ",".join(
+    _beam_sql(k).replace(f"FROM b{k})", f"FROM b{k} WHERE qid NOT IN (SELECT qid FROM b{k} WHERE ends_with(candidate, '3')))") + "," + _states_sql(k) for k in (1, 2, 3)
+)
+
+
+def _history(spark, sf_dir):
+    topics = spark.createDataFrame(_LAST_TOPICS, "qid string, entity string")
+    return G.beam_history(R.star_store(spark, sf_dir), topics, _stub("r"), _stub("e"), stop=_stopped)
+
+
+@query(_HISTORY_SQL + " " + " UNION ALL ".join(f"SELECT qid, depth, entity, relation, is_head, candidate, round(score, 6) AS score FROM b{k} UNION ALL SELECT qid, {k}, entity, NULL, NULL, '{G.FINISH}', 0 FROM f{k} WHERE (qid, entity) NOT IN (SELECT qid, entity FROM c{k})" for k in (1, 2, 3)))
+def beam_finish(spark, sf_dir):
+    """A beam's rows with those of entities that lead nowhere."""
+    return _history(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
+
+
+@query(_HISTORY_SQL + " " + " UNION ALL ".join([f"SELECT qid, status, depth FROM z{k} WHERE status IS NOT NULL" for k in (1, 2, 3)]) + " UNION ALL SELECT qid, 'open', 3 FROM g4")
+def beam_states(spark, sf_dir):
+    """What became of each of a beam's questions."""
+    return _history(spark, sf_dir)[1]
+
+
+def _walk_sql(k: int) -> str:
+    """One depth of neighbours, pruning, targets."""
+    seen = " UNION ALL ".join(f"SELECT qid, entity FROM f{j}" for j in range(1, k + 1))
+    return f"""
+r{k} AS (SELECT DISTINCT f.qid, f.entity, e.relation, e.is_head FROM f{k} f JOIN ends e ON lower(f.entity) = e.k),
+s{k} AS (SELECT r.qid, {k} AS depth, r.entity, r.relation, r.is_head, e.candidate FROM r{k} r JOIN ends e ON lower(r.entity) = e.k AND r.relation = e.relation AND r.is_head = e.is_head WHERE NOT contains(r.relation, 'HAS')),
+z{k} AS (SELECT qid, CASE WHEN qid NOT IN (SELECT qid FROM r{k}) THEN 'exhausted' WHEN qid NOT IN (SELECT qid FROM s{k}) THEN 'pruned' END AS status, {k} AS depth FROM g{k}),
+f{k + 1} AS (SELECT qid, entity FROM (SELECT qid, entity, row_number() OVER (PARTITION BY qid ORDER BY entity) AS n FROM (SELECT DISTINCT qid, candidate AS entity FROM s{k} WHERE (qid, candidate) NOT IN ({seen}))) WHERE n <= 5),
+y{k} AS (SELECT qid, 'exhausted' AS status, {k} AS depth FROM z{k} WHERE status IS NULL AND {k} < 3 AND qid NOT IN (SELECT qid FROM f{k + 1})),
+g{k + 1} AS (SELECT qid FROM z{k} WHERE status IS NULL AND qid NOT IN (SELECT qid FROM y{k}))"""
+
+
+_NEIGHBOURS_SQL = f"""{_T}, ends AS (SELECT DISTINCT lower(head) AS k, rel AS relation, true AS is_head, tail AS candidate FROM triples UNION SELECT DISTINCT lower(tail), rel, false, head FROM triples),
+f1 AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _LAST_TOPICS)}) v(qid, entity)), g1 AS (SELECT DISTINCT qid FROM f1),{_walk_sql(1)},{_walk_sql(2)},{_walk_sql(3)}"""
+
+
+def _neighbours(spark, sf_dir):
+    topics = spark.createDataFrame(_LAST_TOPICS, "qid string, entity string")
+    return G.neighbour_walk(R.star_store(spark, sf_dir), topics, lambda relations: relations.filter(~F.contains("relation", F.lit("HAS"))))
+
+
+@query(f"{_NEIGHBOURS_SQL} SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3")
+def neighbour_targets(spark, sf_dir):
+    """All that kept relations of a frontier lead to, five entities of a question going on."""
+    return _neighbours(spark, sf_dir)[0]
+
+
+@query(f"{_NEIGHBOURS_SQL} " + " UNION ALL ".join(f"SELECT qid, status, depth FROM z{k} WHERE status IS NOT NULL UNION ALL SELECT * FROM y{k}" for k in (1, 2, 3)) + " UNION ALL SELECT qid, 'open', 3 FROM g4")
+def neighbour_states(spark, sf_dir):
+    return _neighbours(spark, sf_dir)[1]
+
+
 def _memory_sql(depth: int) -> str:
     """One depth of the bounded traversal: words, hits by side, scores, cut, the next topics."""
     k = depth

@@ -61,9 +61,9 @@ def next_run(df: DataFrame, column: str = "run_id") -> int:
     return 0 if last is None else last + 1
 
 
-def with_file(df: DataFrame) -> DataFrame:
-    """Rows with the file they came from, to evaluate all files of a folder in one job."""
-    return df.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+def with_file(df: DataFrame, folder: bool = False) -> DataFrame:
+    """Rows with the file they came from, to evaluate all files of a folder in one job; with `folder` the folder it lies in, as Spark writes what is one file elsewhere."""
+    return df.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$" if folder else r"([^/]+)$", 1))
 
 
 def history(df: DataFrame, session: str, order: str = "turn") -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from skein.operators import graph as G
 from skein.operators import models as M
 from skein.operators import paths as P
 from skein.plans import registry as R
@@ -63,7 +64,7 @@ def test_paths_branch_and_meet(spark):
 
 def test_long_chains_by_doubling(spark):
     triples = [(f"n{k}", "next", f"n{k + 1}") for k in range(9)]
-    for depth in (1, 2, 5):
+    for depth in (2, 5):
         rows, states, _ = _forest(spark, triples, [("q", "n0")], max_depth=depth)
         assert sorted(r["path"] for r in rows.values()) == sorted(" --> ".join(["n0", *[f"n{j}, next, n{j + 1}" for j in range(k)]]) for k in range(1, depth + 1))
         assert states == {"q": ("open", depth)}
@@ -106,3 +107,29 @@ def test_answers_stop_and_clues_go_on(spark):
     context = {r["qid"]: r["context"] for r in P.path_context(*tables, 3).collect()}
     assert context["q"] == "Answer: it\n\nKG context:\ndelta --> delta, is, answer\nalpha --> alpha, r, beta --> beta, r, gamma\n"
     assert context["p"] == "KG context:\none --> one, r, two\n"
+
+
+def test_beams_say_what_became_of_each_question(spark):
+    triples = [("a", "r1", "b"), ("b", "r2", "c"), ("c", "r3", "d"), ("d", "r4", "e"), ("lone", "r9", "lone"), ("zero", "z", "none"), ("s", "r1", "stop")]
+    topics = spark.createDataFrame([(x, x) for x in ("a", "lone", "zero", "s", "missing")], "qid string, entity string")
+    graph = spark.createDataFrame(triples, "head string, rel string, tail string")
+    one = lambda q, x: F.when(x == "z", 0.0).otherwise(1.0)
+    history, states = G.beam_history(graph, topics, one, one, stop=lambda beam: beam.filter("candidate = 'stop'"))
+    assert {r["qid"]: (r["status"], r["depth"]) for r in states.collect()} == {"a": ("open", 3), "lone": ("exhausted", 2), "zero": ("exhausted", 1), "s": ("answered", 1), "missing": ("exhausted", 1)}
+    rows = history.collect()
+    assert {(r["qid"], r["depth"], r["entity"]) for r in rows if r["candidate"] == G.FINISH} == {("lone", 2, "lone"), ("zero", 1, "zero"), ("missing", 1, "missing")}
+    plain = G.beam_search(graph, topics, one, one, stop=lambda beam: beam.filter("candidate = 'stop'"))
+    assert sorted(map(tuple, plain.collect())) == sorted(tuple(r) for r in rows if r["candidate"] != G.FINISH)
+    none = lambda q, x: F.when(x == "none", 0.0).otherwise(1.0)
+    assert {r["qid"]: r["status"] for r in G.beam_history(graph, topics, none, none)[1].collect()}["zero"] == "pruned"
+
+
+def test_neighbours_pruned_and_followed(spark):
+    triples = [("a", "to", f"n{k}") for k in range(9)] + [(f"n{k}", "to", f"m{k}") for k in range(9)] + [("b", "drop", "c"), ("d", "to", "d")]
+    topics = spark.createDataFrame([(x, x) for x in ("a", "b", "d", "missing")], "qid string, entity string")
+    steps, states = G.neighbour_walk(spark.createDataFrame(triples, "head string, rel string, tail string"), topics, lambda r: r.filter("relation = 'to'"), max_depth=3, max_entities=4)
+    assert {r["qid"]: (r["status"], r["depth"]) for r in states.collect()} == {"a": ("open", 3), "b": ("pruned", 1), "d": ("exhausted", 1), "missing": ("exhausted", 1)}
+    at = lambda depth: {(r["entity"], r["candidate"]) for r in steps.collect() if r["qid"] == "a" and r["depth"] == depth}
+    assert at(1) == {("a", f"n{k}") for k in range(9)}
+    assert at(2) == {(f"n{k}", x) for k in range(4) for x in ("a", f"m{k}")}
+    assert at(3) == {(f"m{k}", f"n{k}") for k in range(4)}
