@@ -95,7 +95,8 @@ def neighbour_labels(edges: DataFrame, labels: DataFrame, wanted: DataFrame, lan
 
     edges (src_id, relation, dst_id), labels (node_id, label, lang), wanted (label). Of a
     label, relation and direction the first `most` neighbours by label are kept, as a
-    limited lookup would; the cut is made before the rows of a hub are shuffled.
+    limited lookup would. All labels of a hub's neighbours are looked up before the cut,
+    for it goes by label; of these each task passes on no more than `most`.
     """
     named = label_lookup(labels, wanted.select("label").distinct()).filter("node_id IS NOT NULL")
     out = named.join(edges, F.col("node_id") == F.col("src_id")).select("label", "relation", F.lit(True).alias("is_head"), F.col("dst_id").alias("_to"))
@@ -106,6 +107,34 @@ def neighbour_labels(edges: DataFrame, labels: DataFrame, wanted: DataFrame, lan
     return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
 
 
+def relation_labels(edges: DataFrame, labels: DataFrame, wanted: DataFrame, lang: str = "en", most: int = 100) -> DataFrame:
+    """(label, is_head, relation, relation_label): the relations that leave and reach each wanted label's least node, with their labels in `lang`.
+
+    edges (src_id, relation_id, dst_id), labels (node_id, label, lang), wanted (label). Of
+    a label and direction the first `most` by label are kept. A node's relations are made
+    distinct where its edges lie before any are shuffled, so a hub moves as many rows as
+    it has relations.
+    """
+    named = label_lookup(labels, wanted.select("label").distinct()).filter("node_id IS NOT NULL")
+    side = lambda at, is_head: named.join(edges, F.col("node_id") == F.col(at)).select("label", F.lit(is_head).alias("is_head"), F.col("relation_id").alias("relation")).distinct()
+    texts = labels.filter(F.col("lang") == lang).select(F.col("node_id").alias("relation"), F.col("label").alias("relation_label"))
+    found = side("src_id", True).union(side("dst_id", False)).join(texts, "relation").select("label", "is_head", "relation", "relation_label").distinct()
+    first = Window.partitionBy("label", "is_head").orderBy("relation_label", "relation")
+    return found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
+
+
+def accumulated(forest: DataFrame) -> DataFrame:
+    """(qid, entity, triples, sources, candidates) of a traversal's rows: for each entity that was searched the triples found by it, the entities those before came from, and the entities they lead to, each set in order.
+
+    As large as the traversal lets a question's triples be.
+    """
+    line = F.concat_ws(", ", *SIDES)
+    before = forest.select("qid", F.col("path_id").alias("parent_id"), F.col("word").alias("source"))
+    led = next_candidates(forest).join(before, ["qid", "parent_id"], "left")
+    sets = {"triples": line, "sources": F.col("source"), "candidates": T.kg_text(F.col("candidate"))}
+    return led.groupBy("qid", F.col("word").alias("entity")).agg(*[F.array_sort(F.collect_set(x)).alias(n) for n, x in sets.items()])
+
+
 def label_lookup(labels: DataFrame, wanted: DataFrame, default: str | None = None) -> DataFrame:
     """wanted (label) with the least node of each label (node_id, label); without one, null or `default`."""
     first = labels.groupBy("label").agg(F.min("node_id").alias("node_id"))

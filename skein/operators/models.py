@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sampling import draw_key, random_sample
 
 Model = Callable[[pd.Series], pd.Series]
 
@@ -36,6 +37,11 @@ TEMPLATES = {
     ("classify", "any", 0): "Is the answer to this question a span of text, or yes or no? %s",
     ("doc_to_code", "any", 4): "%s\n\n# Document\n%s\n# Code\n",
     ("question_to_code", "any", 4): "%s\n\n# Question\n%s\n# Code\n",
+    ("code_to_text", "any", 4): "%s\n\n# Code\n%s\n# Text, with every condition in words\n",
+    ("judge_correctness", "any", 0): "Question: %s\nReference: %s\nAnswer: %s\nRate the answer from 1 to 5, the number alone in the first line.",
+    ("judge_relevancy", "any", 0): "Question: %s\nAnswer: %s\nContext:\n%s\nDo question and answer fit the context? YES or NO.",
+    ("judge_faithfulness", "any", 0): "Statement: %s\nContext:\n%s\nDoes the context bear the statement out? YES or NO.",
+    ("passage", "any", 0): "Write a passage that answers this question.\n%s",
     ("answer_task", "any", 0): "You answer questions about a document. %s Examples come first.",
     ("remind", "yes/no", 0): "Say yes or no and nothing else, even if you aren't sure.",
     ("remind", "span", 0): "Say a short span of the document and nothing else.",
@@ -100,11 +106,6 @@ def complete(df: DataFrame, prompt: Column, model: Model, name: str = "response"
     return schema.mapInArrow(run, out)
 
 
-def keyword_stub(questions: Column) -> Column:
-    """What stands in for a keyword model: words that are no stop words."""
-    return T.search_words(T.normalize_answer(questions))
-
-
 def refine(df: DataFrame, text: str, model: Model, prompts: int = 3, most: int = 30) -> DataFrame:
     """Triples by several prompts: each gets what the one before gave; parsed triples of the last in `triples`."""
     out = complete(df, F.format_string(template("extract"), F.lit(most), F.col(text)), model, "facts").drop("error")
@@ -189,6 +190,48 @@ def judge(df: DataFrame, judges: dict[str, Column], contexts: str = "contexts")
     return df.withColumns({n: F.when(F.size(F.col(contexts)) > 0, score) for n, score in judges.items()})
 
 
+def model_judges(rows: DataFrame, model: Model, least: float = 4.0) -> DataFrame:
+    """rows (question, reference, response, contexts) with correctness, passing, relevancy and faithfulness by a model's word.
+
+    correctness is the number in the first line of its reply, passing whether it is at
+    least `least`; the other two are 1 where it says yes and 0 otherwise, null where a row
+    has no contexts, which isn't sent then. A reply without a number, and one that failed,
+    scores null.
+    """
+    blank, contexts = F.lit(""), F.array_join("contexts", "\n")
+    text = lambda c: F.coalesce(F.col(c), blank)
+    out = complete(rows, F.format_string(template("judge_correctness"), text("question"), text("reference"), text("response")), model, "_said").drop("error")
+    number = F.regexp_extract(F.element_at(F.split("_said", "\n"), 1), r"(\d+(?:\.\d+)?)", 1)
+    out = out.withColumn("correctness", F.when(number != "", number.cast("double"))).withColumn("passing", F.col("correctness") >= least).drop("_said")
+    some = F.coalesce(F.size("contexts") > 0, F.lit(False))
+    prompts = {"relevancy": F.format_string(template("judge_relevancy"), text("question"), text("response"), contexts), "faithfulness": F.format_string(template("judge_faithfulness"), text("response"), contexts)}
+    alone = out.filter(~some).withColumns({n: F.lit(None).cast("double") for n in prompts})
+    asked = out.filter(some)
+    for name, prompt in prompts.items():
+        asked = complete(asked, prompt, model, "_said").drop("error").withColumn(name, F.contains(F.lower("_said"), F.lit("yes")).cast("double")).drop("_said")
+    return asked.unionByName(alone)
+
+
+def translate(rows: DataFrame, column: str, task: str, demos: DataFrame, model: Model, n: int = 4, seed: int = 1) -> DataFrame:
+    """rows with prompt, response and error of a translation: doc_to_code, question_to_code or code_to_text.
+
+    demos (id, given, made): n drawn ones stand ahead of what is to be translated, so a
+    prompt has as many examples whatever the size of demos.
+    """
+    line = F.concat(F.col("given"), F.lit("\n"), F.col("made"))
+    listed = F.array_sort(F.collect_list(F.struct(draw_key(seed, "id").alias("d"), "id", line.alias("x"))))
+    block = random_sample(demos, n, "id", seed).agg(F.array_join(F.transform(listed, lambda s: s["x"]), "\n\n").alias("_block"), F.lit(task).alias("_task"))
+    joined = rows.withColumn("_task", F.lit(task)).join(F.broadcast(block), "_task")  # one row of n examples
+    joined = joined.withColumn("prompt", F.format_string(template(task, shots=4), F.col("_block"), F.col(column))).drop("_block", "_task")
+    return complete(joined, F.col("prompt"), model)
+
+
+def extract_linear(rows: DataFrame, text: str, model: Model) -> DataFrame:
+    """rows with `triples` that an extraction model writes in its linear form; null where it failed."""
+    out = complete(rows, F.col(text), model, "_said").drop("error")
+    return out.withColumn("triples", F.when(F.col("_said").isNotNull(), T.linear_triples("_said"))).drop("_said")
+
+
 def classify(df: DataFrame, question: str, model: Model) -> DataFrame:
     """df with `qtype` by a model's word: span if it says so, yes/no otherwise."""
     out = complete(df, F.format_string(template("classify"), F.col(question)), model, "_kind")

@@ -85,3 +85,16 @@ def with_document(examples: DataFrame, documents: DataFrame, key: str, order: li
     others = [c for c in documents.columns if c not in examples.columns]
     first = documents.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_document"))
     return examples.join(first, key).select(*examples.columns, "_document.*")
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Entries of both maps; of a key that both have the right one's, null values too. A null map has no entries."""
+    empty = F.map_filter(F.coalesce(left, right), lambda k, v: F.lit(False))
+    return F.map_zip_with(F.coalesce(left, empty), F.coalesce(right, empty), lambda k, x, y: F.when(F.map_contains_key(F.coalesce(right, empty), k), y).otherwise(x))
+
+
+def in_pandas(df: DataFrame, most: int = 100_000):
+    """df as a pandas table, for data sets of a known size: more than `most` rows are refused before any reaches the driver."""
+    if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) > most:
+        raise ValueError(f"over {most} rows: write them instead")
+    return df.toPandas()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -55,6 +57,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     return ranked.select(F.col("q").alias(query), F.col("key").alias(key), "distance", "rank")
 
 
+def search(vectors: DataFrame, questions: DataFrame, embed: Callable[[Column], Column], k: int = 5, transform: Callable[[DataFrame], DataFrame] | None = None, key: str = "vec_id", query: str = "query_id") -> DataFrame:
+    """top_k() of questions (query, text) by embed(text). transform, off by default, gives questions another text first, such as a passage a model would answer with."""
+    asked = questions if transform is None else transform(questions)
+    return top_k(vectors, asked.select(query, embed(F.col("text")).alias("embedding")), k, key, query)
+
+
 def rerank(found: DataFrame, score, by: str = "query_id", key: str = "vec_id", n: int = 2) -> DataFrame:
     """The n best of each query by a second score, a column; ties by key."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), key)

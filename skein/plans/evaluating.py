@@ -131,6 +131,14 @@ def assignment_metric(spark, sf_dir):
     return E.assignment_metric(_lists(spark, sf_dir)).select("id", *[F.round(m, 6).alias(m) for m in E.METRICS])
 
 
+@query(f"""WITH {_CELLS} SELECT id, {', '.join(f'round(max({x}) * CASE WHEN any_value(preds) > 1 THEN exp(1 - any_value(preds)) ELSE 1 END, 6) AS {m}' for m, x in (('em', 'em'), ('conditional_em', 'em * cond'), ('f1', 'f1'), ('conditional_f1', 'f1 * cond')))}
+FROM base JOIN sizes USING (id) WHERE j = 1 AND i <= preds GROUP BY id""")
+def one_reference(spark, sf_dir):
+    """The best of all predictions against the first answer, discounted by their number."""
+    found = _lists(spark, sf_dir).select("id", E.one_reference_metric(F.col("predictions"), F.col("answers")[0]).alias("m"))
+    return found.select("id", *[F.round(f"m.{m}", 6).alias(m) for m in E.METRICS])
+
+
 def _word_vectors(texts: list[str]) -> list[np.ndarray]:
     """The digits of each word's hash, less their mean: what stands in for a model's vectors."""
     return [np.array([[int(x, 16) - 7.5 for x in hashlib.md5(w.encode()).hexdigest()[:16]] for w in t.split(" ") if w]).reshape(-1, 16) for t in texts]

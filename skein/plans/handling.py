@@ -178,3 +178,19 @@ def incremental_append(spark, sf_dir):
     path = new_path(spark)
     append_new(docs.filter("lang = 'en'"), path, "doc_id", lambda df: df.withColumn("run", F.lit(1)))
     return append_new(docs, path, "doc_id", lambda df: df.withColumn("run", F.lit(2)))
+
+
+@query("""SELECT event_id, (props->>'k')::BIGINT + 1 AS k, length(event_type)::BIGINT AS size FROM events""")
+def merged_properties(spark, sf_dir):
+    """Properties of events with others laid over them."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,bigint>").alias("m"), F.length("event_type").cast("long").alias("n"))
+    merged = O.merged_maps(F.col("m"), F.create_map(F.lit("k"), F.col("m")["k"] + 1, F.lit("size"), F.col("n")))
+    return rows.select("event_id", merged["k"].alias("k"), merged["size"].alias("size"))
+
+
+@query("""WITH n AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: string_split(p, chr(10)))) AS l FROM documents)
+SELECT doc_id, len(l)::INT AS n, md5(array_to_string(l, '|')) AS lines_md5 FROM n""")
+def flattened_sections(spark, sf_dir):
+    """Sections that are lists of lines, as one list."""
+    nested = F.transform(F.split("text", "\n\n"), lambda p: F.split(p, "\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.flatten(nested).alias("l")).select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "|").cast("binary")).alias("lines_md5"))

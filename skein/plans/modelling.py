@@ -123,10 +123,10 @@ def sufficiency(spark, sf_dir):
 
 
 def _keywords(prompts: pd.Series) -> pd.Series:
-    return prompts.map(lambda p: "KEYWORDS: " + ", ".join(p.rsplit("\n", 1)[1].split(" ")[:3]))
+    return prompts.map(lambda p: "KEYWORDS: " + ", ".join(p.rsplit("\n", 1)[1].split(" ")))
 
 
-@query("SELECT p_partkey::BIGINT AS id, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' ')[1:3], lambda w: w <> ''))), ',') AS keywords FROM part")
+@query("SELECT p_partkey::BIGINT AS id, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda w: w <> ''))), ',') AS keywords FROM part")
 def keyword_extraction(spark, sf_dir):
     """Keywords of a model's answer."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), "p_name")
@@ -161,15 +161,81 @@ def model_question_type(spark, sf_dir):
     return M.classify(R.turns(spark, sf_dir), "ref", _kind).select("id", "qtype")
 
 
-_BLOCK = "(SELECT string_agg('Question: ' || r_name || chr(10) || 'Answer: ' || r_name, chr(10) || chr(10) ORDER BY r_regionkey) FROM region)"
+def _echoed(prompts: pd.Series) -> pd.Series:
+    """What stands to be translated, between marks."""
+    return prompts.map(lambda p: "<" + p.rstrip("\n").split("\n")[-2] + ">")
 
 
-@query(f"SELECT n_name, {filled_sql(M.template('doc_to_code', shots=4), _BLOCK, 'n_name')} AS prompt FROM nation")
+_TASKS = ("doc_to_code", "question_to_code", "code_to_text")
+_BLOCK = "(SELECT string_agg(c_name || chr(10) || c_mktsegment, chr(10) || chr(10) ORDER BY d, c_custkey) FROM (SELECT *, md5('1:' || c_custkey) AS d FROM customer ORDER BY d, c_custkey LIMIT 4))"
+
+
+@query(f"WITH block AS (SELECT {_BLOCK} AS b) " + " UNION ALL ".join(f"SELECT '{t}' AS task, p_partkey, md5({filled_sql(M.template(t, shots=4), 'b', 'p_name')}) AS prompt_md5, '<' || p_name || '>' AS response FROM part, block" for t in _TASKS))
+def translations(spark, sf_dir):
+    """Texts to code, questions to code and code to text, each after four drawn examples."""
+    demos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("given"), F.col("c_mktsegment").alias("made"))
+    rows, out = table(spark, sf_dir, "part").select("p_partkey", "p_name"), None
+    for task in _TASKS:
+        made = M.translate(rows, "p_name", task, demos, _echoed).select(F.lit(task).alias("task"), "p_partkey", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "response")
+        out = made if out is None else out.union(made)
+    return out
+
+
+@query(f"SELECT p_partkey, md5({filled_sql(M.template('doc_to_code', shots=4), _BLOCK, 'p_name')}) AS prompt_md5 FROM part")
 def translation_prompts(spark, sf_dir):
     """Prompts with examples ahead, to turn a text into code."""
-    demos = table(spark, sf_dir, "region").withColumn("task", F.lit("doc_to_code"))
-    block = M.few_shots(demos, "task", "r_regionkey", "r_name", "r_name")
-    return table(spark, sf_dir, "nation").withColumn("task", F.lit("doc_to_code")).join(F.broadcast(block), "task").select("n_name", F.format_string(M.template("doc_to_code", shots=4), F.col("block"), F.col("n_name")).alias("prompt"))
+    return translations(spark, sf_dir).filter("task = 'doc_to_code'").select("p_partkey", "prompt_md5")
+
+
+def _linear(prompts: pd.Series) -> pd.Series:
+    """The linear form of a name's words: the first has the others as parts."""
+
+    def form(p: str) -> str:
+        first, *others = p.split(" ")
+        return f"<s><triplet> {first} " + " ".join(f"<subj> {w} <obj> has part" for w in others) + "</s>"
+
+    return prompts.map(form)
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS head, 'has part' AS rel, unnest(string_split(p_name, ' ')[2:]) AS tail FROM part")
+def extracted_relations(spark, sf_dir):
+    """Triples of a model's linear form."""
+    found = M.extract_linear(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", _linear)
+    return found.select("p_partkey", F.inline("triples"))
+
+
+@query("SELECT p_partkey, p_name, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') AS topic_entity FROM part")
+def keywords_written(spark, sf_dir):
+    """Rows read from JSON lines, given keywords by a model, written as JSON lines and read back."""
+    given, made, rows = new_path(spark), new_path(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    tables.write_json(rows, given)
+    answered = M.complete(tables.read_json(spark, given, schema), F.format_string(M.template("keywords"), F.col("p_name")), _keywords)
+    tables.write_json(answered.select("p_partkey", "p_name", T.keywords("response").alias("topic_entity")), made)
+    back = tables.read_json(spark, made, f"{schema}, topic_entity array<string>")
+    return back.withColumn("topic_entity", F.array_join(F.array_sort("topic_entity"), ","))
+
+
+def _judge(prompts: pd.Series) -> pd.Series:
+    """Rates by the length of the answer, finds a context that holds the letter e fitting, and bears out what is short."""
+
+    def reply(p: str) -> str:
+        if p.startswith("Question: ") and "\nReference: " in p:
+            n = len(p.split("\nAnswer: ")[1].split("\nRate the answer")[0])
+            return "none" if n % 7 == 0 else f"{n % 5 + 1}.5\nfor its length"
+        context = p.split("\nContext:\n")[1]
+        return "YES" if ("e" in context.split("\nDo question")[0] if p.startswith("Question: ") else len(p) % 2 == 0) else "NO"
+
+    return prompts.map(reply)
+
+
+@query(f"""WITH {R.TURNS_SQL}, c AS (SELECT *, CASE WHEN turn % 4 = 0 THEN '' ELSE ref || chr(10) || 'x' END AS context FROM turns)
+SELECT id, CASE WHEN length(pred) % 7 <> 0 THEN length(pred) % 5 + 1.5 END::DOUBLE AS correctness, CASE WHEN length(pred) % 7 <> 0 THEN length(pred) % 5 + 1.5 >= 4 END AS passing,
+CASE WHEN turn % 4 <> 0 THEN contains(context, 'e')::INT END::DOUBLE AS relevancy, CASE WHEN turn % 4 <> 0 THEN (length({filled_sql(M.template('judge_faithfulness'), 'pred', 'context')}) % 2 = 0)::INT END::DOUBLE AS faithfulness FROM c""")
+def model_judged(spark, sf_dir):
+    """Correctness, relevancy and faithfulness by a model's word; the last two need contexts."""
+    rows = R.turns(spark, sf_dir).select("id", F.col("ref").alias("question"), F.col("conv_id").cast("string").alias("reference"), F.col("pred").alias("response"), F.when(F.col("turn") % 4 != 0, F.array("ref", F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("contexts"))
+    return M.model_judges(rows, _judge).select("id", "correctness", "passing", "relevancy", "faithfulness")
 
 
 def _code(prompts: pd.Series) -> pd.Series:

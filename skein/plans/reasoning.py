@@ -161,3 +161,19 @@ def triple_vectors(spark, sf_dir):
     graph = O.position(R.star_triples(spark, sf_dir), ["head", "rel", "tail"])
     found = V.top_k(graph.select(F.col("pos").alias("vec_id"), _counts(F.concat_ws(" ", *G.SIDES)).alias("embedding")), spark.createDataFrame(_SOUGHT, "query_id long, text string").withColumn("embedding", _counts(F.col("text"))), 30)
     return found.join(graph, F.col("vec_id") == F.col("pos")).select("query_id", *G.SIDES, F.round("distance", 6).alias("distance"))
+
+
+def _passage(prompts: pd.Series) -> pd.Series:
+    """Answers with the question's words twice and a place."""
+    return prompts.map(lambda p: " ".join([p.rsplit("\n", 1)[1]] * 2) + " europe")
+
+
+@query(f"""WITH p AS (SELECT p_partkey::BIGINT AS vec_id, {_counts_sql("p_name || ' ' || p_brand || ' ' || p_type")} AS v FROM part),
+q AS (SELECT query_id::BIGINT AS query_id, {_counts_sql("text || ' ' || text || ' europe'")} AS v FROM (VALUES {', '.join(map(str, _SOUGHT))}) s(query_id, text))
+SELECT query_id, vec_id, round(list_distance(q.v, p.v) ** 2, 6) AS distance FROM q, p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.v, p.v) ** 2, 6), vec_id) <= 5""")
+def passage_search(spark, sf_dir):
+    """Parts nearest to the passage a model would answer with instead of the question."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("vec_id"), _counts(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("embedding"))
+    written_out = lambda q: M.complete(q, F.format_string(M.template("passage"), F.col("text")), _passage).select("query_id", F.col("response").alias("text"))
+    found = V.search(parts, spark.createDataFrame(_SOUGHT, "query_id long, text string"), _counts, 5, written_out)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))

@@ -12,7 +12,7 @@ from ..operators import graph as G
 from ..operators import models as M
 from ..operators import paths as P
 from ..operators import retrieval as V
-from ..operators.sampling import per_group
+from ..operators.sampling import cut_large, per_group
 from ..sources.tables import table
 from . import registry as R
 from .registry import query
@@ -326,6 +326,49 @@ def traverse_states(spark, sf_dir):
     return _forest(spark, sf_dir)[1].select("qid", "status", "depth")
 
 
+@query(f"""{FOREST_SQL}, led AS (SELECT f.qid, f.word, f.head || ', ' || f.rel || ', ' || f.tail AS line, b.word AS source, unnest(CASE WHEN contains({_KT.format('f.head')}, f.word) THEN [f.tail] WHEN contains({_KT.format('f.tail')}, f.word) THEN [f.head] ELSE [f.head, f.tail] END) AS candidate FROM forest f LEFT JOIN forest b ON b.qid = f.qid AND b.path_id = f.parent_id)
+SELECT qid, word AS entity, array_to_string(list_sort(list(DISTINCT line)), ';') AS triples, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ';'), '') AS sources, array_to_string(list_sort(list(DISTINCT {_KT.format('candidate')})), ';') AS candidates FROM led GROUP BY qid, word""")
+def accumulated_entities(spark, sf_dir):
+    """What each searched entity of a traversal matched, came from and leads to."""
+    found = G.accumulated(_forest(spark, sf_dir)[0])
+    return found.select("qid", "entity", *[F.array_join(c, ";").alias(c) for c in ("triples", "sources", "candidates")])
+
+
+@query(f"""{_T} SELECT rel, tail, head FROM (SELECT *, count(*) OVER (PARTITION BY rel, tail) AS n, row_number() OVER (PARTITION BY rel, tail ORDER BY head) AS k FROM triples) WHERE n <= 100 OR k <= 30""")
+def capped_candidates(spark, sf_dir):
+    """Ends of a relation: all of up to a hundred, the first thirty of more."""
+    return cut_large(R.star_triples(spark, sf_dir), ["rel", "tail"], ["head"], 101, 30).select("rel", "tail", "head")
+
+
+_LABELLED = """e AS (SELECT c_custkey + 1000000 AS src_id, 7 AS relation_id, c_nationkey AS dst_id FROM customer UNION ALL SELECT n_nationkey, 8, n_regionkey + 1000 FROM nation UNION ALL SELECT s_suppkey + 2000000, 9, s_nationkey FROM supplier),
+l AS (SELECT n_nationkey::BIGINT AS node_id, n_name AS label, 'en' AS lang FROM nation UNION ALL SELECT r_regionkey + 1000, r_name, 'en' FROM region UNION ALL SELECT * FROM (VALUES (7, 'lives in', 'en'), (7, 'wohnt in', 'de'), (8, 'part of', 'en'), (9, 'trades in', 'de')) p)"""
+
+
+def _labelled(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    edge = lambda df, a, r, b: df.select(a.cast("long").alias("src_id"), F.lit(r).cast("long").alias("relation_id"), b.cast("long").alias("dst_id"))
+    edges = edge(t("customer"), F.col("c_custkey") + 1000000, 7, F.col("c_nationkey")).union(edge(t("nation"), F.col("n_nationkey"), 8, F.col("n_regionkey") + 1000)).union(edge(t("supplier"), F.col("s_suppkey") + 2000000, 9, F.col("s_nationkey")))
+    label = lambda df, a, b: df.select(a.cast("long").alias("node_id"), F.col(b).alias("label"), F.lit("en").alias("lang"))
+    names = spark.createDataFrame([(7, "lives in", "en"), (7, "wohnt in", "de"), (8, "part of", "en"), (9, "trades in", "de")], "node_id long, label string, lang string")
+    return edges, label(t("nation"), F.col("n_nationkey"), "n_name").union(label(t("region"), F.col("r_regionkey") + 1000, "r_name")).union(names)
+
+
+@query(f"""WITH {_LABELLED}, w AS (SELECT label, min(node_id) AS node_id FROM l WHERE label IN (SELECT n_name FROM nation UNION SELECT r_name FROM region) GROUP BY label)
+SELECT DISTINCT w.label, is_head, relation_id::BIGINT AS relation, p.label AS relation_label FROM w JOIN (SELECT src_id AS near, true AS is_head, relation_id FROM e UNION ALL SELECT dst_id, false, relation_id FROM e) s ON near = w.node_id JOIN l p ON p.node_id = relation_id AND p.lang = 'en'""")
+def relation_label_search(spark, sf_dir):
+    """English labels of the relations that leave and reach each nation and region."""
+    edges, labels = _labelled(spark, sf_dir)
+    wanted = table(spark, sf_dir, "nation").select(F.col("n_name").alias("label")).union(table(spark, sf_dir, "region").select("r_name"))
+    return G.relation_labels(edges, labels, wanted)
+
+
+@query(f"WITH {_LABELLED} SELECT w.label, min(node_id)::BIGINT AS node_id FROM (SELECT 'lives in' AS label UNION ALL SELECT 'part of' UNION ALL SELECT DISTINCT o_orderpriority FROM orders) w LEFT JOIN l ON l.label = w.label GROUP BY w.label")
+def property_ids(spark, sf_dir):
+    """Properties by their labels; null where there is none."""
+    wanted = spark.createDataFrame([("lives in",), ("part of",)], "label string").union(table(spark, sf_dir, "orders").select("o_orderpriority").distinct())
+    return G.label_lookup(_labelled(spark, sf_dir)[1], wanted).select("label", "node_id")
+
+
 @query("""SELECT user_id, event_type, props, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type, props""")
 def memory_dedupe(spark, sf_dir):
     from ..operators.relational import first_occurrence

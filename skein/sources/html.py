@@ -138,7 +138,7 @@ def unwrap_links(html: Column) -> Column:
 
 
 def read_html(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """(path, html) of a folder's files and those below it."""
+    """(path, html) of a folder's files and those below it; empty files have no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     return files.select("path", F.decode("content", "UTF-8").alias("html"))
 
