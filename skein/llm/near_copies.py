@@ -6,11 +6,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import small_batches, tiled, written
+from .common import drop_written, small_batches, tiled, written
 from .components import connected_components
 from .simhash import SEED, fingerprint, only_heads, shingles
 
@@ -24,6 +24,8 @@ SKETCH, FAR = 1024, 0.1
 BANDS, ROWS = 24, 4
 #: Fingerprints for which a bucket aims, and above which it is compared in tiles.
 BUCKET_CODES, TILE_CODES = 1024, 2000
+#: Classes of a band from which it is compared in tiles: these carry whole shingle sets, 80 KB for a text of 20,000 words.
+TILE_SETS = 400
 #: Fingerprints searched at once in a tree.
 _QUERIES = 256
 #: Hashes of a text whose MinHash values are taken at once.
@@ -139,10 +141,11 @@ def _bands(batches):
 
 def _meetings(sketches: DataFrame) -> DataFrame:
     """(ids array<bigint>): classes of sketches (id, sketch) that share a band, in tiles, once for each set."""
-    band = Window.partitionBy("band")
-    rows = sketches.select("id", "sketch").mapInArrow(_bands, "id long, bands array<long>").select("id", F.explode("bands").alias("band"))
-    met = written(rows.withColumn("low", F.min("id").over(band)).withColumn("high", F.max("id").over(band)).filter("low < high").select("id", "band"))
-    return tiled(met, ["band"], "id", TILE_CODES).groupBy("band", "tile").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
+    rows = written(sketches.select("id", "sketch").mapInArrow(_bands, "id long, bands array<long>").select("id", F.explode("bands").alias("band")))
+    shared = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("band")
+    met = written(rows.join(shared, "band"))
+    drop_written(rows)
+    return tiled(met, ["band"], "id", TILE_SETS).groupBy("band", "tile").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
 
 
 def _prints(batches):
