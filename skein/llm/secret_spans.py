@@ -33,7 +33,8 @@ DOUBT = 0.2
 O, B, I = 0, 1, 2
 
 _WORD_HINT = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|private|login", re.A)
-_ATTRIBUTES = 20
+_ATTRIBUTES = 26
+_RUNS, _FILE_NAME, _HEX_OR_NUMBER = re.compile(r"[A-Za-z0-9]+"), re.compile(r"\w\.[a-z]{2,4}$", re.A), re.compile(r"[0-9a-f]+|[0-9A-F]+|[0-9]+[A-Z]?|[A-Z][0-9]+")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -58,10 +59,13 @@ def attributes(token: str) -> int:
     core = bare.rsplit("=", 1)[-1] if "=" in bare[:-2] else bare
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
     hexes = n > 0 and all(c in "0123456789abcdefABCDEF" for c in core)
+    runs = _RUNS.findall(bare)
+    longest = max(runs, key=len, default="")
     facts = (
         True, n == 0, token in ("=", ":", ":=", "=>"), token[-1:] in ("=", ":"), "=" in bare[:-1] or ":" in bare[:-1], token[:1] in "\"'`",
         bool(_WORD_HINT.search(token.lower())), n >= 8, n >= 16, n >= 24, n >= 40, kinds >= 2 and digits > 0, kinds == 3, digits == n > 0,
         entropy > 2.8, entropy > 3.4, changes >= 4, hexes and digits > 0, "@" in bare or "/" in bare, uppers > 1 and digits > 0 and not lowers,
+        len(runs) >= 3 and len(longest) <= 12, digits * 10 >= 6 * sum(map(len, runs)) > 0, len(longest) >= 16, len(longest) >= 12 and any(map(str.isdigit, longest)) and not longest.isdigit(), bool(_FILE_NAME.search(bare)), all(map(_HEX_OR_NUMBER.fullmatch, runs)),
     )
     return sum(1 << k for k, on in enumerate(facts) if on)
 
@@ -186,16 +190,22 @@ _MADE_NAMES = ("pwd", "auth", "credential", "credentials", "private_key", "login
 _CONTEXTS = ("<{n}={v}", "<{n}: >{v}", "<{n} >= >{v}", '<{n}="{v}"', "{n} is <{v}", "the {n} is <{v}", "export <{N}={v}", "bearer <{v}", "Bearer <{v}", "--{n} <{v}", "my {w} {n}: <{v}", "{w} <{v} {w}", "{n} <{v}")
 #: Odd tokens that are no secrets, and names of secrets with plain words after them.
 _HARMLESS = ("20{d}-0{e}-1{e}", "{d},{d}{e}.{e}0", "user{d}@example.com", "https://example.com/{w}/{d}?page={e}", "v{e}.{e}.{d}", "+49-{d}-{d}{d}{d}", "({d}", "{w}-{w}", "{n} is {w}", "{n}: {w} {w}", "the {n} {w}", "{w}={w}", "{d}/{d}", "{w}_{w}", "{N}", "#{d}{e}", "{d}:{d}:{d}", "{w}:{d}{d}", "id={d}{d}{e}", "src/{w}/{w}_{e}.py")
+#: More of them, in which %d3 stands for three drawn digits, %h for hexadecimal digits, %U for capitals.
+_HARMLESS_DRAWN = ("20%d2-%d2-%d2T%d2:%d2:%d2Z", "%h8-%h4-%h4-%h4-%h12", "({w}, %h8-%h4-%h4-%h4-%h12)", "%U2%d20", "10.%d4/%h6.%d4", "%U3-%d4", "%d3-%d1-%d2-%d6-%d1", "commit %h7", "%d3.%d2.%d1.%d3", "v%d1.%d1.%d2-rc%d1", "report_20%d6_v%d1.pdf", "%h2-%h2-%h2-%h2", "#%h6", "{w}%d2.{w}", "https://example.org/%d6/{w}-{w}-%d4.html", "%U1%d7", "{w}-{w}-%d3-{w}", "%d2h%d2m%d2s", "%d4:%d4:%h4", "{w}.{w}.{w}%d1")
+_DRAWN = re.compile(r"%([dhU])(\d+)")
+_DRAWN_FROM = {"d": "0123456789", "h": "0123456789abcdef", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _made(draw: random.Random, tokens: list[str], harmless: bool) -> list[tuple[str, int]]:
     """Tokens with tags: a made secret in a context, or what only looks like one."""
     word = lambda: draw.choice(tokens) if tokens else "word"
-    value = draw.choice(_BEGINNINGS) + "".join(draw.choices(draw.choice(_ALPHABETS), k=draw.randint(10, 44)))
+    value = draw.choice(_BEGINNINGS) + "".join(draw.choices(draw.choice(_ALPHABETS), k=draw.choice((draw.randint(10, 18), draw.randint(10, 44)))))
     if not any(c.isdigit() for c in value):
         value += str(draw.randint(10, 99))
     name = draw.choice(_MADE_NAMES)
-    text = draw.choice(_HARMLESS if harmless else _CONTEXTS).format(n=name, N=name.upper(), v=value, w=word(), d=draw.randint(10, 99), e=draw.randint(0, 9))
+    form = draw.choice((*_HARMLESS, *_HARMLESS_DRAWN) if harmless else _CONTEXTS)
+    text = form.format(n=name, N=name.upper(), v=value, w=word(), d=draw.randint(10, 99), e=draw.randint(0, 9))
+    text = _DRAWN.sub(lambda m: "".join(draw.choices(_DRAWN_FROM[m[1]], k=int(m[2]))), text) if harmless else text
     return [(t.lstrip("<>") if not harmless else t, 0 if harmless else B if t[0] == "<" else I if t[0] == ">" else O) for t in text.split()]
 
 
@@ -218,7 +228,7 @@ def _tagged(text: str) -> list[tuple[list[int], int, list[int]]]:
     draw = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
     marked, plain = [i for i, t in enumerate(tags) if t == B], [i for i in odd if tags[i] == O]
     cases = [(c, tokens, tags) for c in (*draw.sample(marked, min(2, len(marked))), *draw.sample(plain, min(2, len(plain))), *draw.sample(range(len(tokens)), min(1, len(tokens))))]
-    for harmless in (False, False, False, True):
+    for harmless in (False, False, False, True, True):
         new = _made(draw, tokens[:200], harmless)
         at = draw.randint(0, len(tokens))
         if at == len(tokens) or tags[at] != I:
@@ -235,7 +245,7 @@ def _tagged(text: str) -> list[tuple[list[int], int, list[int]]]:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """Learn from about sample_rows documents at most, drawn by a hash of the id: windows of base spans, made secrets and other tokens.
 
-    What reaches the driver are windows of numbers, at most nine for a document.
+    What reaches the driver are windows of numbers, at most ten for a document.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
