@@ -9,9 +9,8 @@ from skein.plans import catalogue
 from test_engine import SF, _rows
 
 NAMES = (
-    "answer_similarity similarity_maxima best_pair_max assignment_metric one_reference evaluated_files render_context hybrid_or hybrid_and stratified_sample conditional_sample incremental_append resumed_batches "
-    "store_rebuild vector_table remote_scan text_answerer code_second_try translations translation_prompts extracted_relations keywords_written model_judged judged_rows numbered_runs capped_candidates "
-    "relation_label_search property_ids passage_search merged_properties flattened_sections traverse_paths beam_states neighbour_states kg_word_search"
+    "similarity_maxima best_pair_max one_reference evaluated_files render_context hybrid_and conditional_sample incremental_append store_rebuild remote_scan text_answerer code_second_try "
+    "translations extracted_relations keywords_written model_judged numbered_runs capped_candidates relation_label_search property_ids passage_search merged_properties flattened_sections traverse_paths"
 ).split()
 
 
