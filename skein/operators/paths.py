@@ -62,10 +62,9 @@ def path_forest(graph: DataFrame, topics: DataFrame, prune: Prune, max_depth: in
     frontier = topics.select("qid", F.explode(parts).alias("word")).distinct().withColumns({"partial": F.lit(True), "parent_id": F.lit(None).cast("long"), "ways": F.lit(0).cast("long")})
     forest, states, going = None, None, asked
     for depth in range(1, max_depth + 1):
-        words = frontier.select("qid", "word", "parent_id", "ways")
-        hits = word_hits(words.filter(frontier["partial"]), graph)
+        hits = word_hits(frontier.filter("partial").drop("partial"), graph)
         if depth > 1:
-            hits = hits.unionByName(word_hits(words.filter(~frontier["partial"]), graph, exact=True))
+            hits = hits.unionByName(word_hits(frontier.filter("NOT partial").drop("partial"), graph, exact=True))
         hits = hits.drop("side").distinct()
         if forest is not None:
             hits = hits.join(forest.select("qid", *SIDES), ["qid", *SIDES], "left_anti")
@@ -79,7 +78,7 @@ def path_forest(graph: DataFrame, topics: DataFrame, prune: Prune, max_depth: in
         path_id = F.shiftleft(F.lit(depth).cast("long"), 32) + F.col("seq")
         found = written(each.select("qid", path_id.alias("path_id"), "by.parent_id", F.lit(depth).alias("depth"), "seq", "by.word", "by.ways", *SIDES))
         forest = found if forest is None else forest.union(found)
-        visited = written(visited.union(words.select("qid", "word")).distinct())
+        visited = written(visited.union(frontier.select("qid", "word")).distinct())
         onward = next_candidates(found).select("qid", T.kg_text(F.col("candidate")).alias("word"), "path_id")
         onward = onward.groupBy("qid", "word").agg(F.min("path_id").alias("parent_id"), F.count_distinct("path_id").alias("ways")).join(visited, ["qid", "word"], "left_anti")
         first = Window.partitionBy("qid").orderBy("parent_id", "word")

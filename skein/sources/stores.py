@@ -34,6 +34,11 @@ def manifest(inputs: list[DataFrame]) -> list[list]:
     return out
 
 
+def _label(name: str, folder: str) -> str:
+    """The session's name of a bucketed table: by name and folder, so that stores of other folders are other tables."""
+    return f"skein_{name}_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+
+
 def stored(spark: SparkSession, name: str, inputs: list[DataFrame], build: Callable[[], DataFrame], bucket: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The table that build() makes of inputs, written when it is first asked for and whenever the inputs' files are other ones.
 
@@ -46,7 +51,7 @@ def stored(spark: SparkSession, name: str, inputs: list[DataFrame], build: Calla
     version = hashlib.sha256(json.dumps([files_read, bucket, buckets if bucket else 0]).encode()).hexdigest()[:24]
     folder = f"{shared_dir(spark)}/skein/stores/{name}/{version}"
     files, marker = _files(spark, f"{folder}/{MARKER}")
-    label = f"skein_{name}_{version}"
+    label = _label(name, folder)
     if not files.exists(marker):
         files.delete(_files(spark, folder)[1], True)
         made = build()
@@ -69,11 +74,12 @@ def stored(spark: SparkSession, name: str, inputs: list[DataFrame], build: Calla
 
 def drop_versions(spark: SparkSession, name: str, keep: str | None = None) -> int:
     """Delete the versions of a store but the one whose folder is named `keep`; how many there were. For when nothing reads them."""
-    files, folder = _files(spark, f"{shared_dir(spark)}/skein/stores/{name}")
+    top = f"{shared_dir(spark)}/skein/stores/{name}"
+    files, folder = _files(spark, top)
     found = [s.getPath() for s in files.listStatus(folder)] if files.exists(folder) else []
     gone = [p for p in found if p.getName() != keep]
     for p in gone:
-        spark.sql(f"DROP TABLE IF EXISTS skein_{name}_{p.getName()}")
+        spark.sql(f"DROP TABLE IF EXISTS {_label(name, f'{top}/{p.getName()}')}")
         files.delete(p, True)
     return len(gone)
 
