@@ -198,11 +198,12 @@ def _beams(graph: DataFrame | GraphStore, topics: DataFrame, score_relation: Sco
         if previous is not None:
             relations = relations.join(previous, ["qid", "relation", "is_head"], "left_anti")
         relations = relations.withColumn("relation_score", score_relation(F.col("qid"), F.col("relation")))
-        relations = top_by_score(relations, ["qid", "entity"], "relation_score", ["relation", "is_head"], width)
+        # written, as are a hub's entities once they are cut: what is read again is small, and no side of the graph is searched twice
+        relations = written(top_by_score(relations, ["qid", "entity"], "relation_score", ["relation", "is_head"], width))
         found = entity_search(graph, relations)
         group = ["qid", "entity", "relation", "is_head"]
         found = cut_large(found, group, [F.md5(F.col("candidate").cast("binary")), "candidate"], many, retain)
-        found = found.withColumn("score", score_entity(F.col("qid"), F.col("candidate")) * F.col("relation_score"))
+        found = written(found).withColumn("score", score_entity(F.col("qid"), F.col("candidate")) * F.col("relation_score"))
         beam = top_by_score(found, ["qid"], "score", ["candidate", "entity", "relation", "is_head"], width)
         beam = written(beam.select("qid", F.lit(at).alias("depth"), *group[1:], "candidate", "score"))
         stopped = None if stop is None else written(stop(beam).select("qid").distinct())

@@ -101,16 +101,16 @@ def _star(sf_dir: str) -> str:
 
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table of triples (head, rel, tail): built by the first query that reads it, and again when a table has changed."""
-    return stored(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: _build_triples(spark, sf_dir))
+    return stored(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: _star_rows(spark, sf_dir).distinct())
 
 
 def star_store(spark: SparkSession, sf_dir: str) -> GraphStore:
     """The same triples dealt by head and by tail, for what searches from frontiers."""
-    return graph_store(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: star_triples(spark, sf_dir))
+    return graph_store(spark, _star(sf_dir), [table(spark, sf_dir, n) for n in _SOURCES], lambda: _star_rows(spark, sf_dir), repeats=True)
 
 
-def _build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star schema as triples, each once."""
+def _star_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star schema as triples, some of them several times."""
     t = lambda n: table(spark, sf_dir, n)
     nation, orders = t("nation"), t("orders")
     order = F.concat(F.lit("order "), F.col("o_orderkey"))
@@ -128,7 +128,7 @@ def _build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct()
+    return out
 
 
 TRIPLES_SQL = """triples AS (
