@@ -12,7 +12,8 @@ from ..operators import graph as G
 from ..operators import models as M
 from ..operators import paths as P
 from ..operators import retrieval as V
-from ..operators.sampling import cut_large, per_group
+from ..operators.sampling import cut_large
+from ..sources.shared import written
 from ..sources.tables import table
 from . import registry as R
 from .registry import query
@@ -413,22 +414,22 @@ def vector_rerank(spark, sf_dir):
     return V.rerank(_near(spark, sf_dir), score).select("query_id", "vec_id", "rank")
 
 
-#: What the graph's side of a hybrid knows of a label: so many nodes, drawn by hash.
-_KNOWN = 20
-
-
 def _hybrid(mode: str):
     def run(spark, sf_dir):
         vec = _near(spark, sf_dir).select("query_id", F.col("vec_id").alias("node_id"), (-F.round("distance", 6)).alias("score"))
         e = table(spark, sf_dir, "embeddings")
-        known = per_group(e.select("label", F.col("vec_id").alias("node_id")), "label", _KNOWN, "node_id")
-        kg = e.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), "label").join(known, "label").select("query_id", "node_id", F.lit(1000.0).alias("score"))
-        return V.hybrid(vec, kg, mode, by=["query_id"])
+        asked, nodes = e.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("node_id"), "label")
+        if mode == "AND":
+            # of all pairs of a label only those that the vectors found can be in both: those are looked up, and no label is multiplied out
+            vec = written(vec)
+            kg = vec.select("query_id", "node_id").join(asked, "query_id").join(nodes, ["node_id", "label"])
+        else:
+            kg = asked.join(nodes, "label")
+        return V.hybrid(vec, kg.select("query_id", "node_id", F.lit(1000.0).alias("score")), mode, by=["query_id"])
 
     run.__name__ = f"hybrid_{mode.lower()}"
     kind = "JOIN" if mode == "AND" else "FULL JOIN"
-    return query(f"""WITH {_NEAR}, known AS (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('1:' || vec_id), vec_id) <= {_KNOWN}),
-kg AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id FROM embeddings q JOIN known e ON q.label = e.label WHERE q.{_QUERIES})
+    return query(f"""WITH {_NEAR}, kg AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.{_QUERIES})
 SELECT coalesce(k.query_id, n.query_id) AS query_id, coalesce(k.node_id, n.vec_id) AS node_id, CASE WHEN k.node_id IS NULL THEN -round(distance, 6) ELSE 1000.0 END AS score, CASE WHEN k.node_id IS NULL THEN 'vector' WHEN n.vec_id IS NULL THEN 'kg' ELSE 'both' END AS origin
 FROM near n {kind} kg k ON n.query_id = k.query_id AND n.vec_id = k.node_id""")(run)
 

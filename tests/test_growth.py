@@ -55,3 +55,12 @@ def test_beams_search_a_graph_twice_a_depth(spark, monkeypatch):
     monkeypatch.setattr(G, "written", lambda df: (searched.append(any(path.split("/")[-1] in f for f in df.inputFiles())), write(df))[1])
     rows, _ = G.beam_history(graph, spark.createDataFrame([("q", "a0")], "qid string, entity string"), lambda q, x: F.lit(1.0), lambda q, x: F.lit(1.0), depth=2)
     assert rows.count() and sum(searched) == 4
+
+
+def test_hybrids_know_all_nodes_of_a_label(spark):
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()
+    pairs = {(a["vec_id"], b["vec_id"]) for a in e if a["vec_id"] % 20 == 0 for b in e if a["label"] == b["label"]}
+    both, either = ({(r["query_id"], r["node_id"]): r["origin"] for r in registry.QUERIES[m](spark, sf).collect()} for m in ("hybrid_and", "hybrid_or"))
+    assert pairs == {p for p, o in either.items() if o != "vector"}
+    assert both.keys() == {p for p, o in either.items() if o == "both"}
