@@ -15,8 +15,10 @@ from ..functions import text as T
 Encoder = Callable[[list[str]], list[np.ndarray]]
 #: The three maxima of similarity_maxima().
 MAXIMA = ("similarity", "with_conditions", "conditions_only")
-#: Texts that a task keeps encoded at once.
-KEPT_TEXTS = 4096
+#: Texts and bytes of their matrices from which a task forgets those that it doesn't need at once.
+KEPT_TEXTS, KEPT_BYTES = 4096, 32 << 20
+#: Bytes of the rows whose texts are encoded together, and cosines that are taken at once.
+SLICE_BYTES, CELLS = 256 << 10, 1 << 20
 
 
 def greedy_match(candidate: np.ndarray, reference: np.ndarray) -> tuple[float, float, float]:
@@ -27,8 +29,14 @@ def greedy_match(candidate: np.ndarray, reference: np.ndarray) -> tuple[float, f
     if not len(candidate) or not len(reference):
         return (float(len(candidate) == len(reference)),) * 3
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    cosines = unit(candidate.astype(np.float64)) @ unit(reference.astype(np.float64)).T
-    p, r = float(cosines.max(axis=1).mean()), float(cosines.max(axis=0).mean())
+    c, r = unit(candidate.astype(np.float64)), unit(reference.astype(np.float64)).T
+    # some of the candidate's tokens at a time: two long texts have more pairs of tokens than a task has memory
+    best, others, step = np.empty(len(candidate)), np.full(len(reference), -np.inf), max(1, CELLS // len(reference))
+    for at in range(0, len(candidate), step):
+        cosines = c[at : at + step] @ r
+        best[at : at + step] = cosines.max(axis=1)
+        np.maximum(others, cosines.max(axis=0), out=others)
+    p, r = float(best.mean()), float(others.mean())
     return p, r, 2 * p * r / (p + r) if p + r > 0 else 0.0
 
 
@@ -39,7 +47,7 @@ class _Scorer:
         self.encode, self.known = encode, {}
 
     def learn(self, texts: set[str]) -> None:
-        if len(self.known) > KEPT_TEXTS:
+        if len(self.known) > KEPT_TEXTS or sum(m.nbytes for m in self.known.values()) > KEPT_BYTES:
             self.known = {t: m for t, m in self.known.items() if t in texts}
         new = sorted(texts - self.known.keys())
         self.known.update(zip(new, self.encode(new) if new else [], strict=True))
@@ -48,6 +56,19 @@ class _Scorer:
         return greedy_match(self.known[candidate], self.known[reference])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows of about SLICE_BYTES, or one larger row: what is encoded at once doesn't grow with an Arrow batch."""
+    for b in batches:
+        first = size = 0
+        for n in range(b.num_rows):
+            size += sum(c.nbytes for c in b.slice(n, 1).columns)
+            if size >= SLICE_BYTES:
+                yield b.slice(first, n + 1 - first)
+                first, size = n + 1, 0
+        if first < b.num_rows:
+            yield b.slice(first)
+
+
 def token_similarity(pairs: DataFrame, candidate: str, reference: str, encode: Encoder) -> DataFrame:
     """pairs with `precision`, `recall` and `f1` of greedy matching of two text columns, compared after normalising; null texts are empty."""
     ready = pairs.withColumns({"_c": F.coalesce(T.normalize_answer(candidate), F.lit("")), "_r": F.coalesce(T.normalize_answer(reference), F.lit(""))})
@@ -55,7 +76,7 @@ def token_similarity(pairs: DataFrame, candidate: str, reference: str, encode: E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(encode)
-        for b in batches:
+        for b in _slices(batches):
             c, r = b.column("_c").to_pylist(), b.column("_r").to_pylist()
             scorer.learn({*c, *r})
             scores = np.array([scorer.score(x, y) for x, y in zip(c, r, strict=True)]).reshape(-1, 3)
@@ -100,7 +121,7 @@ def similarity_maxima(pairs: DataFrame, encode: Encoder, key: str = "id") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(encode)
-        for b in batches:
+        for b in _slices(batches):
             rows = list(zip(b.column("p").to_pylist(), b.column("a").to_pylist(), strict=True))
             scorer.learn({x[part] for p, a in rows for x in (*p, *a) for part in ("answer", "conditions")})
             found = np.array([best(scorer, p, a) for p, a in rows]).reshape(-1, 3)

@@ -57,6 +57,21 @@ def test_beams_search_a_graph_twice_a_depth(spark, monkeypatch):
     assert rows.count() and sum(searched) == 4
 
 
+def test_long_texts_are_matched_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    c, r = rng.normal(size=(70, 16)), rng.normal(size=(50, 16))
+    whole = S.greedy_match(c, r)
+    monkeypatch.setattr(S, "CELLS", 120)
+    assert np.allclose(S.greedy_match(c, r), whole, rtol=0, atol=1e-12)
+
+
+def test_what_is_encoded_at_once_is_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 2000), pa.array(range(2000))], names=["t", "n"])
+    slices = list(S._slices(iter([batch])))
+    assert sum(s.num_rows for s in slices) == 2000 and [n for s in slices for n in s.column("n").to_pylist()] == list(range(2000))
+    assert max(s.nbytes for s in slices) < S.SLICE_BYTES + 2000
+
+
 def test_hybrids_know_all_nodes_of_a_label(spark):
     sf = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()
