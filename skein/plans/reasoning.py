@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import models as M
-from ..operators import relational as O
 from ..operators import retrieval as V
 from ..sources import tables
 from ..sources.shared import new_path
@@ -145,7 +144,9 @@ _SOUGHT = [(1, "nation asia region"), (2, "red widget has brand"), (3, "order pl
 def _counts(text):
     """Counts of words by a hash of them: what stands in for a model's vectors."""
     at = F.transform(F.split(T.kg_text(text), " "), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % _DIM)
-    return F.transform(F.sequence(F.lit(0), F.lit(_DIM - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("float"))
+    # `at` stands once, as the one element of an array: named in the inner function itself it would be hashed anew for each count
+    count = lambda a, i: F.size(F.filter(a, lambda x: x == i)).cast("float")
+    return F.element_at(F.transform(F.array(at), lambda a: F.array(*[count(a, i) for i in range(_DIM)])), 1)
 
 
 def _counts_sql(text: str) -> str:
@@ -158,9 +159,9 @@ q AS (SELECT query_id::BIGINT AS query_id, {_counts_sql('text')} AS v FROM (VALU
 SELECT query_id, head, rel, tail, round(list_distance(q.v, t.v) ** 2, 6) AS distance FROM q, t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(q.v, t.v) ** 2, 6), key) <= 30""")
 def triple_vectors(spark, sf_dir):
     """The thirty triples nearest to a question by vectors of their texts."""
-    graph = O.position(R.star_triples(spark, sf_dir), ["head", "rel", "tail"])
-    found = V.top_k(graph.select(F.col("pos").alias("vec_id"), _counts(F.concat_ws(" ", *G.SIDES)).alias("embedding")), spark.createDataFrame(_SOUGHT, "query_id long, text string").withColumn("embedding", _counts(F.col("text"))), 30)
-    return found.join(graph, F.col("vec_id") == F.col("pos")).select("query_id", *G.SIDES, F.round("distance", 6).alias("distance"))
+    vectors = R.star_triples(spark, sf_dir).select(*G.SIDES, _counts(F.concat_ws(" ", *G.SIDES)).alias("embedding"))
+    found = V.top_k(vectors, spark.createDataFrame(_SOUGHT, "query_id long, text string").withColumn("embedding", _counts(F.col("text"))), 30, list(G.SIDES))
+    return found.select("query_id", *G.SIDES, F.round("distance", 6).alias("distance"))
 
 
 def _passage(prompts: pd.Series) -> pd.Series:

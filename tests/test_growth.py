@@ -72,6 +72,20 @@ def test_what_is_encoded_at_once_is_bounded():
     assert max(s.nbytes for s in slices) < S.SLICE_BYTES + 2000
 
 
+def test_nearest_by_keys_of_several_columns(spark):
+    rows = [(f"k{n % 4}", f"m{n // 4}", [float(n % 2), 0.0]) for n in range(40)]
+    vectors = spark.createDataFrame(rows, "a string, b string, embedding array<double>").repartition(3)
+    found = V.top_k(vectors, spark.createDataFrame([(1, [0.0, 0.0])], "query_id long, embedding array<double>"), 7, ["a", "b"])
+    wanted = sorted((x[2][0] ** 2, x[0], x[1]) for x in rows)[:7]
+    assert [(r["distance"], r["a"], r["b"]) for r in found.orderBy("rank").collect()] == wanted
+
+
+def test_words_are_hashed_once_for_all_counts(spark):
+    df = spark.createDataFrame([("red red widget",)], "t string").select(reasoning._counts(F.col("t")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
+    assert sum(df.first()["v"]) == 3
+
+
 def test_hybrids_know_all_nodes_of_a_label(spark):
     sf = "/root/testdata/sf0.001"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label").collect()
