@@ -16,6 +16,10 @@ from .sampling import cut_large
 SIDES = ("head", "rel", "tail")
 FINISH = "[FINISH]"
 UNNAMED = "UnName_Entity"
+#: Different words up to which a search tries each on every triple instead of looking names up.
+FEW_WORDS = 32
+#: Rows of words up to which they are sent to all tasks.
+SENT_ROWS = 1 << 16
 
 
 def triples(edges: DataFrame, head: Column, rel: str, tail: Column) -> DataFrame:
@@ -35,17 +39,28 @@ def match_any(graph: DataFrame, pattern: str) -> DataFrame:
     return graph.filter(F.col("head").rlike(pattern) | F.col("tail").rlike(pattern) | F.col("rel").rlike(pattern))
 
 
-def word_hits(words: DataFrame, graph: DataFrame, exact: bool = False) -> DataFrame:
+def word_hits(words: DataFrame, graph: DataFrame, exact: bool = False, sides: bool = True) -> DataFrame:
     """(words' columns, head, rel, tail, side): triples where a word is in a side, or is the whole of head or tail.
 
     Words come in a column `word`, lower case. Whole sides are an equi-join on the side's
-    lower-case text. Parts: different words meet the different names of all sides through
-    their pieces (names_with), and triples are reached by an equi-join of names.
+    lower-case text. Parts: up to FEW_WORDS different words are tried on each triple where
+    it lies, so that nothing of the graph is shuffled and no task gets all that a word or
+    a relation has; more of them meet the different names of all sides through their
+    pieces (names_with), and triples are reached by an equi-join of names. Without
+    `sides` there is no such column, and a word's triple comes once.
     """
     named = lambda side: graph.withColumn("_text", T.kg_text(F.col(side)))
     if exact:
         parts = [words.join(named(side), F.col("word") == F.col("_text")).withColumn("side", F.lit(side)) for side in ("head", "tail")]
+        if not sides:
+            parts[1] = parts[1].filter(F.coalesce(T.kg_text(F.col("head")) != F.col("word"), F.lit(True)))
     else:
+        few = words.groupBy("word").agg(F.count("*").alias("n")).limit(FEW_WORDS + 1).collect()
+        if len(few) <= FEW_WORDS:
+            tried = _tried([r["word"] for r in few if r["word"] is not None], graph, sides)
+            # hits are many and words few: they go to the hits, whatever Spark knows of their size
+            asked = F.broadcast(words) if sum(r["n"] for r in few) <= SENT_ROWS else words
+            return asked.join(tried, "word").select(*words.columns, *graph.columns, *(["side"] if sides else []))
         names = graph.select(F.explode(F.array(*[T.kg_text(F.col(side)) for side in SIDES])).alias("name")).distinct()
         found = names_with(words.select("word").distinct(), names).withColumnRenamed("name", "_text")
         keyed = words.join(found, "word")
@@ -53,7 +68,20 @@ def word_hits(words: DataFrame, graph: DataFrame, exact: bool = False) -> DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("_text")
+    out = out.drop("_text")
+    return out if sides else out.drop("side").distinct() if not exact else out.drop("side")
+
+
+def _tried(words: list[str], graph: DataFrame, sides: bool) -> DataFrame:
+    """graph with each of the words that is in a side as `word`, for each `side` or once."""
+    text = graph.withColumns({f"_{s}": T.kg_text(F.col(s)) for s in SIDES})
+    held = lambda side, word: F.contains(F.col(f"_{side}"), F.lit(word))
+    if sides:
+        met = [F.when(held(s, w), F.struct(F.lit(w).alias("word"), F.lit(s).alias("side"))) for w in words for s in SIDES]
+    else:
+        met = [F.when(held("head", w) | held("rel", w) | held("tail", w), F.struct(F.lit(w).alias("word"))) for w in words]
+    kind = "array<struct<word:string,side:string>>" if sides else "array<struct<word:string>>"
+    return text.select(*graph.columns, F.inline(F.array_compact(F.array(*met).cast(kind))))
 
 
 def next_candidates(hits: DataFrame) -> DataFrame:
@@ -311,14 +339,15 @@ def _walk(graph: DataFrame, topics: DataFrame, score: Callable[[Column, Column],
         words = frontier.withColumn("word", F.explode(F.when(in_parts, T.search_words(name)).otherwise(F.array(name))))
         words = words.select("qid", "word", in_parts.alias("in_parts")).distinct().join(visited, ["qid", "word"], "left_anti")
         partial, whole = words.filter("in_parts").drop("in_parts"), words.filter("NOT in_parts").drop("in_parts")
+        line = F.concat_ws(", ", *SIDES)
+        scored = lambda hits: hits.withColumn("score", score(F.col("qid"), line)).filter(F.col("score") >= least)
         if depth == 1:
-            hits = word_hits(partial, graph)
+            found = scored(word_hits(partial, graph))
         else:
-            hits = word_hits(whole, graph, exact=True)
+            found = scored(word_hits(whole, graph, exact=True))
             if reason is not None:
-                hits = hits.unionByName(word_hits(partial, graph)).distinct()
-        line = F.concat_ws(", ", *SIDES)
-        found = hits.withColumn("score", score(F.col("qid"), line)).filter(F.col("score") >= least)
+                # a word can be both: of hits that score enough each once
+                found = found.unionByName(scored(word_hits(partial, graph))).distinct()
         ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), "head", "rel", "tail", "word", "side")
         found = found.withColumn("seq", F.row_number().over(ranked)).filter(F.col("seq") <= most_triples)
         found = written(found.select("qid", F.lit(depth).alias("depth"), "seq", *SIDES, "word", "side"))

@@ -62,10 +62,12 @@ def path_forest(graph: DataFrame, topics: DataFrame, prune: Prune, max_depth: in
     frontier = topics.select("qid", F.explode(parts).alias("word")).distinct().withColumns({"partial": F.lit(True), "parent_id": F.lit(None).cast("long"), "ways": F.lit(0).cast("long")})
     forest, states, going = None, None, asked
     for depth in range(1, max_depth + 1):
-        hits = word_hits(frontier.filter("partial").drop("partial"), graph)
+        # a triple may come by several words and is made distinct by itself below, so hits are not
+        if depth == 1 or reason is not None:
+            hits = word_hits(frontier.filter("partial").drop("partial"), graph, sides=False)
         if depth > 1:
-            hits = hits.unionByName(word_hits(frontier.filter("NOT partial").drop("partial"), graph, exact=True))
-        hits = hits.drop("side").distinct()
+            whole = word_hits(frontier.filter("NOT partial").drop("partial"), graph, exact=True, sides=False)
+            hits = whole if reason is None else hits.unionByName(whole)
         if forest is not None:
             hits = hits.join(forest.select("qid", *SIDES), ["qid", *SIDES], "left_anti")
         hits = written(hits)

@@ -57,6 +57,18 @@ def test_beams_search_a_graph_twice_a_depth(spark, monkeypatch):
     assert rows.count() and sum(searched) == 4
 
 
+def test_few_words_meet_a_graph_where_it_lies(spark):
+    triples = [(f"Big_Head {k}", "IN_PART", f"tail{k % 3}") for k in range(20)]
+    graph = spark.createDataFrame(triples, "head string, rel string, tail string")
+    wanted = lambda words: sorted((w, *t) for w in words for t in triples if any(w in x.replace("_", " ").lower() for x in t))
+    for words in (["part", "1", "head 1"], [f"{k}" for k in range(G.FEW_WORDS + 3)]):
+        given = spark.createDataFrame([(w,) for w in words], "word string")
+        hits = G.word_hits(given, graph, sides=False)
+        assert sorted(tuple(r) for r in hits.select("word", *G.SIDES).collect()) == wanted(words)
+        if len(words) <= G.FEW_WORDS:
+            assert "BroadcastHashJoin" in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(word" not in plan
+
+
 def test_long_texts_are_matched_in_parts(monkeypatch):
     rng = np.random.default_rng(1)
     c, r = rng.normal(size=(70, 16)), rng.normal(size=(50, 16))
