@@ -204,8 +204,10 @@ def parse_scored_triples(s: Column | str, least: int = 8) -> Column:
     """array<struct(head, rel, tail, score)> of `(a, b, c) (Score: n)`, bold or not: three parts and a score of at least `least`."""
     pattern = r"\((.*?)\)(?:\*\*)? \(Score: (\d+)\)"
     inner, scores = (F.regexp_extract_all(_c(s), F.lit(pattern), F.lit(k)) for k in (1, 2))
-    parts = F.zip_with(inner, scores, lambda x, n: F.struct(F.transform(F.split(x, ","), lambda p: F.regexp_replace(F.trim(p), "^['\"]+|['\"]+$", "")).alias("p"), n.cast("int").alias("score")))
-    good = F.filter(parts, lambda r: (F.size(r["p"]) == 3) & (r["score"] >= least))
+    # scores first, for the parts of what is dropped by them aren't needed; quotes lie on the one line that the pattern matches
+    scored = F.filter(F.zip_with(inner, scores, lambda x, n: F.struct(x.alias("x"), n.cast("int").alias("score"))), lambda r: r["score"] >= least)
+    parts = F.transform(scored, lambda r: F.struct(F.transform(F.split(r["x"], ","), lambda p: F.btrim(F.trim(p), F.lit("'\""))).alias("p"), r["score"].alias("score")))
+    good = F.filter(parts, lambda r: F.size(r["p"]) == 3)
     return F.transform(good, lambda r: F.struct(r["p"][0].alias("head"), r["p"][1].alias("rel"), r["p"][2].alias("tail"), r["score"].alias("score")))
 
 
@@ -230,7 +232,14 @@ def keywords(s: Column | str) -> Column:
 
 def without_stop_word(s: Column) -> Column:
     """Lower case without punctuation; empty if the whole of it is a stop word."""
-    bare = F.trim(F.translate(F.lower(s), PUNCTUATION, ""))
+    return no_stop_word(without_punctuation(s))
+
+
+def without_punctuation(s: Column) -> Column:
+    return F.trim(F.translate(F.lower(s), PUNCTUATION, ""))
+
+
+def no_stop_word(bare: Column) -> Column:
     return F.when(bare.isin(*STOP_WORDS), "").otherwise(bare)
 
 

@@ -84,6 +84,51 @@ def _tried(words: list[str], graph: DataFrame, sides: bool) -> DataFrame:
     return text.select(*graph.columns, F.inline(F.array_compact(F.array(*met).cast(kind))))
 
 
+def question_hits(frontier: DataFrame, graph: DataFrame, exact: bool = False) -> DataFrame:
+    """(qid, head, rel, tail, by): what word_hits() finds for words of frontier (qid, word, parent_id, ways), each triple of the graph once for a question.
+
+    by (p, word, parent_id, ways) is the least of the question's words that are in the
+    triple, p being its parent or 0. Up to FEW_WORDS words are tried where a triple lies,
+    as in word_hits(); whole sides are looked up in one pass over the graph, which is
+    shuffled only if the words are too many to be sent. Neither way are hits shuffled to
+    make them one for each question.
+    """
+    by = F.struct(F.coalesce("parent_id", F.lit(0)).cast("long").alias("p"), "word", "parent_id", "ways")
+    if exact:
+        words = frontier.filter("word IS NOT NULL").groupBy("word").agg(F.collect_list(F.struct("qid", by.alias("by"))).alias("_f"))
+        words = F.broadcast(words) if frontier.limit(SENT_ROWS + 1).count() <= SENT_ROWS else words
+        met = graph
+        for s in ("head", "tail"):
+            met = met.withColumn("_text", T.kg_text(F.col(s))).join(words.select(F.col("word").alias("_text"), F.col("_f").alias(f"_{s}")), "_text", "left").drop("_text")
+        both = F.array_sort(F.concat("_head", "_tail"))
+        # in order of questions and then of what is least: the first of each question
+        least = F.filter(both, lambda x, i: (i == 0) | ~x["qid"].eqNullSafe(F.get(both, i - 1)["qid"]))
+        met = met.filter("_head IS NOT NULL OR _tail IS NOT NULL")
+        return met.select(*SIDES, F.inline(F.when(F.col("_head").isNull(), F.col("_tail")).when(F.col("_tail").isNull(), F.col("_head")).otherwise(least))).select("qid", *SIDES, "by")
+    few = frontier.select("qid", "word", by.alias("by")).limit(FEW_WORDS + 1).collect()
+    if len(few) > FEW_WORDS:
+        hits = word_hits(frontier, graph, sides=False)
+        return hits.groupBy("qid", *SIDES).agg(F.min(by).alias("by"))
+    text = graph.withColumns({f"_{s}": T.kg_text(F.col(s)) for s in SIDES})
+    kinds = {f.name: f.dataType for f in frontier.schema.fields}
+    lit = lambda value, name: F.lit(value).cast(kinds[name]).alias(name)
+    of = {}
+    for r in few:
+        if r["word"] is not None:
+            of.setdefault(r["qid"], []).append(r["by"])
+    held = lambda word: F.contains(F.col("_head"), F.lit(word)) | F.contains(F.col("_rel"), F.lit(word)) | F.contains(F.col("_tail"), F.lit(word))
+    each = lambda b: F.struct(F.lit(b["p"]).cast("long").alias("p"), *[lit(b[n], n) for n in ("word", "parent_id", "ways")])
+    # of a question's words, least first, the first that is held
+    met = []
+    for qid, found in of.items():
+        first = F.lit(None)
+        for b in sorted(found, key=lambda b: (b["p"], b["word"].encode("utf-8", "surrogatepass")), reverse=True):
+            first = F.when(held(b["word"]), F.struct(lit(qid, "qid"), each(b).alias("by"))).otherwise(first)
+        met.append(first)
+    kind = frontier.select(F.array(F.struct("qid", by.alias("by")))).schema[0].dataType.simpleString()
+    return text.select(*SIDES, F.inline(F.array_compact(F.array(*met).cast(kind)))).select("qid", *SIDES, "by")
+
+
 def next_candidates(hits: DataFrame) -> DataFrame:
     """Hits with `candidate`: the word in the head leads to the tail, in the tail to the head, in the relation to both."""
     low = lambda c: T.kg_text(F.col(c))

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import argparse
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import MISSING, dataclass, fields
+from functools import partial
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from .sampling import draw_key, random_sample
 
 Model = Callable[[pd.Series], pd.Series]
 
+#: Questions up to which they are sent to all tasks.
+SENT_ROWS = 1 << 16
+
 #: Our own wording, by name, question type and number of examples; blanks are filled with format_string.
 TEMPLATES = {
     ("answer", "yes/no", 0): "Context:\n%s\n\nQuestion: %s\nReply `Answer: yes` or `Answer: no`.",
@@ -74,11 +83,12 @@ def answer_prompt(context: Column, question: Column, qtype: Column) -> Column:
     return F.coalesce(out, F.format_string(template("answer", "span"), context, question))
 
 
-def complete(df: DataFrame, prompt: Column, model: Model, name: str = "response", tries: int = 3, wait: float = 0.0) -> DataFrame:
+def complete(df: DataFrame, prompt: Column, model: Model, name: str = "response", tries: int = 3, wait: float = 0.0, read: tuple[Callable, str | StructType] | None = None) -> DataFrame:
     """df with the model's texts and an `error` column: failures are retried, then kept as data, and never fail the task.
 
     Batches go to the model as pandas series; each worker holds one copy of it. A batch
     that fails is asked row by row, `tries` times each, so an error is its own row's alone.
+    `read`, if given, makes other batches of these where they are, and says their schema.
     """
     columns = df.columns
     schema = df.withColumn("_prompt", prompt)
@@ -103,7 +113,7 @@ def complete(df: DataFrame, prompt: Column, model: Model, name: str = "response"
                     time.sleep(wait * 2**attempt)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*columns, name, "error"])
 
-    return schema.mapInArrow(run, out)
+    return schema.mapInArrow(run, out) if read is None else schema.mapInArrow(lambda batches: read[0](run(batches)), read[1])
 
 
 def refine(df: DataFrame, text: str, model: Model, prompts: int = 3, most: int = 30) -> DataFrame:
@@ -114,21 +124,69 @@ def refine(df: DataFrame, text: str, model: Model, prompts: int = 3, most: int =
     return out.withColumn("triples", T.parse_triplets("facts"))
 
 
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, facts) of lines (qid, _block, line) in which those of a block follow each other: a row for each block."""
+    held = None
+    for b in chain(batches, (None,)):
+        if b is not None:
+            held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        if held is None or not len(held):
+            continue
+        begins = np.ones(len(held), dtype=bool)
+        begins[1:] = False
+        for c in ("qid", "_block"):
+            values = held.column(c).chunk(0)
+            begins[1:] |= np.asarray(pc.not_equal(values[1:], values[:-1]))
+        first = np.flatnonzero(begins)
+        upto = len(held) if b is None else first[-1]
+        first = first[first < upto]
+        if len(first):
+            offsets, line = np.append(first, upto).astype(np.int32), held.column("line").chunk(0)
+            yield pa.RecordBatch.from_arrays([held.column("qid").chunk(0).take(pa.array(first)), pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), line), "\n")], names=["qid", "facts"])
+        held = held.slice(upto)
+
+
+#: What T.parse_scored_triples() looks for, in lines and digits as Java knows them.
+_SCORED = re.compile("\\(([^\n\r\u0085\u2028\u2029]*?)\\)(?:\\*\\*)? \\(Score: ([0-9]+)\\)")
+
+
+def _scored_triples(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(qid, head, rel, tail, score) as T.parse_scored_triples() reads them of each response, where the model's texts are: as a Column it costs ten times as much."""
+    for b in batches:
+        rows, found = [], []
+        for n, text in enumerate(b.column("response").to_pylist()):
+            for inner, score in _SCORED.findall(text or ""):
+                if int(score) >= least and inner.count(",") == 2:
+                    rows.append(n)
+                    found.append((*[x.strip(" ").strip("'\"") for x in inner.split(",")], int(score)))
+        sides = zip(*found, strict=True) if found else ((), (), (), ())
+        head, rel, tail, score = sides
+        yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(rows, pa.int64())), *[pa.array(x, pa.string()) for x in (head, rel, tail)], pa.array(score, pa.int32())], names=["qid", "head", "rel", "tail", "score"])
+
+
 def pruner(questions: DataFrame, model: Model, least: int = 8, block: int = 40) -> Callable[[DataFrame], DataFrame]:
     """What path_forest asks at each depth: which triples (qid, head, rel, tail) a model scores at least `least`, with its own spelling and score.
 
     questions (qid, question). A question's triples go to the model in prompts of about
     `block` triples, dealt by hash, so that no prompt and no task grows with a hub.
+    Up to SENT_ROWS questions are sent to the prompts: dealt by question, all prompts of
+    one would be answered in one task.
     """
+    questions = questions.select("qid", "question")
+    sent = F.broadcast if questions.limit(SENT_ROWS + 1).count() <= SENT_ROWS else lambda df: df
 
     def kept(stored: DataFrame) -> DataFrame:
-        blocks = stored.groupBy("qid").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+        asked_of = stored.groupBy("qid").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+        blocks = sent(asked_of.join(questions.select("qid"), "qid", "left_semi"))
         dealt = stored.join(blocks, "qid").withColumn("_block", F.pmod(F.xxhash64("head", "rel", "tail"), F.col("_blocks")))
         line = F.concat(F.lit("("), F.concat_ws(", ", "head", "rel", "tail"), F.lit(")"))
-        facts = dealt.groupBy("qid", "_block").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("facts"))
-        asked = facts.join(questions.select("qid", "question"), "qid")
+        # sorted by a hash of the prompt, which tells rows apart without their texts, and a prompt's lines by themselves
+        lines = dealt.select("qid", "_block", F.xxhash64("qid", "_block").alias("_at"), line.alias("line")).repartition("qid", "_block").sortWithinPartitions("_at", "qid", "_block", "line")
+        facts = lines.select("qid", "_block", "line").mapInArrow(_joined_lines, StructType([stored.schema["qid"], StructField("facts", StringType())]))
+        asked = facts.join(sent(questions), "qid")
         prompt = F.format_string(template("prune_triples"), F.col("question"), F.col("facts"))
-        return complete(asked, prompt, model).select("qid", F.inline(T.parse_scored_triples(F.coalesce("response", F.lit("")), least)))
+        sides = [StructField(n, StringType()) for n in ("head", "rel", "tail")]
+        return complete(asked, prompt, model, read=(partial(_scored_triples, least), StructType([stored.schema["qid"], *sides, StructField("score", IntegerType())])))
 
     return kept
 

@@ -10,22 +10,33 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import written
-from .graph import SIDES, Reason, next_candidates, word_hits
+from .graph import SIDES, Reason, next_candidates, question_hits
 
 Prune = Callable[[DataFrame], DataFrame]
 
 
-def spelling_key(name: Column) -> Column:
-    """What a name has in common with other spellings of it: letter case, quotes and punctuation aside, and stop words alone are nothing."""
-    return T.without_stop_word(F.replace(name, F.lit("’"), F.lit("")))
+def spelling_keys(df: DataFrame) -> DataFrame:
+    """df with _head, _rel and _tail, what each name has in common with other spellings of it: letter case, quotes and punctuation aside, and stop words alone are nothing.
+
+    In two steps, each of which names what is before it, so that no name is translated twice.
+    """
+    bare = df.withColumns({f"_{s}": T.without_punctuation(F.replace(s, F.lit("’"), F.lit(""))) for s in SIDES})
+    return bare.withColumns({f"_{s}": T.no_stop_word(F.col(f"_{s}")) for s in SIDES})
 
 
 def stored_spelling(pruned: DataFrame, stored: DataFrame) -> DataFrame:
-    """stored (qid, head, rel, tail, ...) that a pruned triple (qid, head, rel, tail, score) means, by the keys of all three parts; the greatest score of several."""
-    keys = lambda df: df.withColumns({f"_{s}": spelling_key(F.col(s)) for s in SIDES})
-    by = ["qid", *[f"_{s}" for s in SIDES]]
-    meant = keys(pruned).groupBy(*by).agg(F.max("score").alias("score"))
-    return keys(stored).join(meant, by).drop(*by[1:])
+    """stored (qid, head, rel, tail, ...) that a pruned triple (qid, head, rel, tail, score) means, by the keys of all three parts; the greatest score of several.
+
+    Keys are told apart by two hashes, 128 bits, which are what is shuffled and sorted.
+    """
+
+    def keyed(df: DataFrame) -> DataFrame:
+        of = ["qid", *[f"_{s}" for s in SIDES]]
+        # a name without a key is null itself; asked of keys, they would be made twice
+        return spelling_keys(df.dropna(subset=["qid", *SIDES])).withColumns({"_k1": F.xxhash64(*of), "_k2": F.xxhash64(F.lit(1), *of)}).drop(*of[1:])
+
+    meant = keyed(pruned).groupBy("_k1", "_k2").agg(F.max("score").alias("score"))
+    return keyed(stored).join(meant, ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def by_score(score: Callable[[Column, Column], Column], least: float) -> Prune:
@@ -37,8 +48,8 @@ def path_forest(graph: DataFrame, topics: DataFrame, prune: Prune, max_depth: in
     """A traversal's triples with how each was reached, and what became of its questions.
 
     topics (qid, entity). Depth 1 finds words of topics anywhere in triples, later depths
-    whole entities, and words of clues if `reason` gives any. prune() gets the different
-    triples (qid, head, rel, tail) of a depth and returns those worth keeping with a
+    whole entities, and words of clues if `reason` gives any. prune() gets the triples
+    (qid, head, rel, tail) of a depth, each once for a question if it is in the graph once, and returns those worth keeping with a
     score, in whatever spelling a model gives them; they meet the stored ones by keys.
     Of the triples that are new to a question the most_triples best are kept, and of the
     entities they lead to that weren't visited the most_topics of the best triples.
@@ -62,21 +73,19 @@ def path_forest(graph: DataFrame, topics: DataFrame, prune: Prune, max_depth: in
     frontier = topics.select("qid", F.explode(parts).alias("word")).distinct().withColumns({"partial": F.lit(True), "parent_id": F.lit(None).cast("long"), "ways": F.lit(0).cast("long")})
     forest, states, going = None, None, asked
     for depth in range(1, max_depth + 1):
-        # a triple may come by several words and is made distinct by itself below, so hits are not
-        if depth == 1 or reason is not None:
-            hits = word_hits(frontier.filter("partial").drop("partial"), graph, sides=False)
-        if depth > 1:
-            whole = word_hits(frontier.filter("NOT partial").drop("partial"), graph, exact=True, sides=False)
-            hits = whole if reason is None else hits.unionByName(whole)
+        partial, whole = frontier.filter("partial").drop("partial"), frontier.filter("NOT partial").drop("partial")
+        # of the words that found a triple `by` is the one with the best parent, and by its text
+        hits = question_hits(partial, graph) if depth == 1 or reason is not None else question_hits(whole, graph, exact=True)
+        if depth > 1 and reason is not None:
+            hits = hits.unionByName(question_hits(whole, graph, exact=True)).groupBy("qid", *SIDES).agg(F.min("by").alias("by"))
         if forest is not None:
             hits = hits.join(forest.select("qid", *SIDES), ["qid", *SIDES], "left_anti")
         hits = written(hits)
-        kept = stored_spelling(prune(hits.select("qid", *SIDES).distinct()), hits)
-        # of the words that found a triple the one with the best parent, and by its text
-        best = F.min(F.struct(F.coalesce("parent_id", F.lit(0)).alias("p"), "word", "parent_id", "ways")).alias("by")
-        each = kept.groupBy("qid", *SIDES).agg(F.max("score").alias("score"), best)
+        kept = stored_spelling(prune(hits.select("qid", *SIDES)), hits)
+        # ranks that equal triples share cut most before a graph's repeated triples are made one
         ranked = Window.partitionBy("qid").orderBy(F.col("score").desc(), *SIDES)
-        each = each.withColumn("seq", F.row_number().over(ranked)).filter(F.col("seq") <= most_triples)
+        each = kept.withColumn("_n", F.dense_rank().over(ranked)).filter(F.col("_n") <= most_triples)
+        each = each.groupBy("qid", *SIDES).agg(F.max("score").alias("score"), F.min("by").alias("by")).withColumn("seq", F.row_number().over(ranked))
         path_id = F.shiftleft(F.lit(depth).cast("long"), 32) + F.col("seq")
         found = written(each.select("qid", path_id.alias("path_id"), "by.parent_id", F.lit(depth).alias("depth"), "seq", "by.word", "by.ways", *SIDES))
         forest = found if forest is None else forest.union(found)

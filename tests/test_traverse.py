@@ -133,3 +133,62 @@ def test_neighbours_pruned_and_followed(spark):
     assert at(1) == {("a", f"n{k}") for k in range(9)}
     assert at(2) == {(f"n{k}", x) for k in range(4) for x in ("a", f"m{k}")}
     assert at(3) == {(f"m{k}", f"n{k}") for k in range(4)}
+
+
+def test_prompts_of_one_question_are_answered_in_many_tasks(spark):
+    from pyspark import TaskContext
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        seen.add(1 << TaskContext.get().partitionId())
+        return prompts.map(lambda p: "\n".join(x + " (Score: 9)" for x in p.split("\n")[1:]))
+
+    stored = spark.range(2000).select(F.lit("q").alias("qid"), F.concat(F.lit("h"), "id").alias("head"), F.lit("r").alias("rel"), F.lit("t").alias("tail"))
+    asked = spark.createDataFrame([("q", "what?")], "qid string, question string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        kept = M.pruner(asked, model)(stored).collect()
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)
+    assert sorted(r["head"] for r in kept) == sorted(f"h{k}" for k in range(2000))
+    # accumulators add: of one task alone, or of one batch of each of several
+    assert bin(seen.value).count("1") > 1
+
+
+def test_hits_of_a_question_come_once_and_are_not_shuffled(spark):
+    triples = [("Red_ring", "is", "red"), ("ring", "has", "red ring"), ("blue", "is", "ring"), ("red", "meets", "Ring"), ("x", "y", "z")]
+    graph = spark.createDataFrame(triples, "head string, rel string, tail string")
+    given = [("q", "red", 7, 1), ("q", "ring", 5, 2), ("p", "ring", 9, 1), ("p", "is", 9, 3)]
+    frontier = spark.createDataFrame(given, "qid string, word string, parent_id long, ways long")
+    low = lambda x: x.replace("_", " ").lower()
+    for exact in (False, True):
+        wanted = {}
+        for q, w, parent, ways in given:
+            for t in triples:
+                if any(w == low(x) for x in (t[0], t[2])) if exact else any(w in low(x) for x in t):
+                    wanted[q, *t] = min(wanted.get((q, *t), (99,)), (parent, w, parent, ways))
+        hits = G.question_hits(frontier, graph, exact)
+        rows = [tuple(r) for r in hits.collect()]
+        assert sorted((*r[:4], tuple(r[4])) for r in rows) == sorted((*k, v) for k, v in wanted.items())
+        if not exact:
+            assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    many = spark.createDataFrame([("q", f"w{k}", None, 0) for k in range(G.FEW_WORDS)] + [("q", "red", None, 0), ("q", "ring", None, 0)], frontier.schema)
+    assert sorted((*r[:4], r["by"]["word"]) for r in G.question_hits(many, graph).collect()) == sorted(("q", *t, "red" if any("red" in low(x) for x in t) else "ring") for t in triples[:4])
+
+
+def test_replies_are_read_as_columns_read_them(spark):
+    import pyarrow as pa
+
+    from skein.functions import text as T
+
+    replies = ["('A B', r, \"c's\") (Score: 9)\n(a, b) (Score: 9)\n(a, b, c, d) (Score: 10)", "(x, y , 'z)** (Score: 8) tail ( a , '' ,b ) (Score: 12)", "(x\ny, b, c) (Score: 9) (q, r, s) (Score: 7)", "((n), m, o) (Score: 08) (k, l, m) (Score: 9)", "", None, "(a,b,c)(Score: 9) (, ,) (Score: 9)"]
+    rows = spark.createDataFrame(list(enumerate(replies)), "qid long, response string")
+    wanted = rows.select("qid", F.inline(T.parse_scored_triples(F.coalesce("response", F.lit("")), 8))).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(replies))), pa.array(replies)], names=["qid", "response"])
+    found = [tuple(r.values()) for b in M._scored_triples(8, iter([batch])) for r in b.to_pylist()]
+    assert found and found == [tuple(r) for r in wanted]
